@@ -91,13 +91,14 @@ def _covered(spans: Column) -> Column:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline: int = INLINE_WINDOWS) -> DataFrame:
-    """docs with n_words, n_hit (long) and spans: array of (at, n, gram), by position."""
+    """docs with n_words, n_hit (long) and spans: array of (at, n, gram), by position.
+
+    docs has doc_id, text and, at most, row: callers pack other columns into that.
+    """
     windows = windows_of(benchmark, window)
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most `window` rows
-    clashing = {"w", "spans", "n_words", "n_hit", *(f"g{n}" for n in range(1, window + 1))}
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in clashing]
+    keep = list(docs.columns)
     docs = docs.select(*keep, words_of(F.col("text")).alias("w"))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != "w"]
     n_words = F.size("w").cast("long").alias("n_words")
     nothing = F.expr("cast(array() as array<struct<at:int,n:int,gram:string>>)")
     if not lengths:
@@ -156,17 +157,19 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline: int = INLINE_WINDOWS) -> DataFrame:
     """docs without the documents that hold a benchmark window. No row is moved."""
-    found = hits(docs, benchmark, window, inline)
-    return found.where(F.col("n_hit") == 0).select(*docs.columns)
+    found = hits(_packed(docs), benchmark, window, inline)
+    return found.where(F.col("n_hit") == 0).select("row.*")
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline: int = INLINE_WINDOWS) -> DataFrame:
-    """Every document, with the words of benchmark windows taken out of the normalised text.
+def _packed(docs: DataFrame) -> DataFrame:
+    """The row rides along whole, so that no name of its columns can clash."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text")
 
-    Adds clean_text: the remaining normalised words joined by one space (a document without
-    hits keeps its text as it is).
-    """
-    found = hits(docs, benchmark, window, inline)
-    words = words_of(F.col("text"))
-    rest = F.filter(words, lambda _, i: ~F.exists("spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["n"])))
-    return found.withColumn("clean_text", F.when(F.col("n_hit") == 0, F.col("text")).otherwise(F.array_join(rest, " "))).drop("spans")
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline: int = INLINE_WINDOWS) -> DataFrame:
+    """Every document; the words of benchmark windows are taken out of the text of those that hold
+    some, which is then the remaining normalised words, joined by one space."""
+    found = hits(_packed(docs), benchmark, window, inline)
+    rest = F.filter(words_of(F.col("text")), lambda _, i: ~F.exists("spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["n"])))
+    text = F.when(F.col("n_hit") == 0, F.col("text")).otherwise(F.array_join(rest, " "))
+    return found.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
