@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, pii, quality, simhash, toxicity
+from . import decontaminate, htmltext, neighbours, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
     "op6_quality": op6_quality,
+    "op7_neighbours": op7_neighbours,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
 }
