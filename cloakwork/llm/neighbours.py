@@ -180,6 +180,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, searc
             names, own = np.unique(m["leaf"].to_numpy(), return_inverse=True)
             for qnode, leaves, v in zip(q["qnode"], q["leaves"], q["qv"]):
                 at = np.nonzero(np.isin(names, leaves)[own])[0]
+                at = at[np.unique(nodes_[at], return_index=True)[1]]  # a block may hold leaves of two trees
                 d = np.sqrt(((x[at] - np.asarray(v, np.float64)) ** 2).sum(axis=1))
                 if len(at) > 4 * k:
                     few = np.nonzero(d <= np.partition(d, k)[k])[0]
