@@ -40,3 +40,12 @@ def fold_of(doc_id: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not folder:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="cloakwork-shared-")
+    return folder.rstrip("/")

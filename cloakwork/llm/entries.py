@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, neighbours, pii, quality, simhash, toxicity
+from . import decontaminate, htmltext, licenses, mixing, neighbours, pii, quality, rollups, simhash, toxicity
 from .common import table
 
 
@@ -16,10 +16,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weighed(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,6 +36,10 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,9 +51,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
+    "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_neighbours": op7_neighbours,
+    "op8_licenses": op8_licenses,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
 }
@@ -49,6 +64,20 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_PIECES = r"[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]{1,3}|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]"
+_COUNTS = rf"""[
+    {{'tokenizer': 'pieces-2', 'n_tokens': len(regexp_extract_all(TEXT, '{_PIECES}')), 'n_chars': length(TEXT)}},
+    {{'tokenizer': 'words-1', 'n_tokens': len(regexp_extract_all(TEXT, '[^\x20\x09-\x0D]+')), 'n_chars': length(TEXT)}}]"""
+
+
+def _bigrams(text: str) -> str:
+    """The distinct word bigrams of a text, in DuckDB."""
+    words = rf"string_split(trim(regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), ' ')"
+    return f"list_distinct(list_transform(range(1, len({words})), lambda i: ({words})[i] || ' ' || ({words})[i + 1]))"
+
+
+_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items()))
+
 ORACLES = {
     "op9_decontamination": rf"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -69,4 +98,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op5_token_counts": f"""
+WITH marks AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+texts AS (
+  SELECT source, lang, CASE WHEN quality = 0 THEN regexp_replace(coalesce(text, ''), '[#$%&*@!|]+', '', 'g') ELSE coalesce(text, '') END AS t
+  FROM documents LEFT JOIN marks USING (doc_id) WHERE coalesce(toxic, 0) <> 1),
+counts AS (SELECT source, lang, unnest({_COUNTS.replace("TEXT", "t")}) AS c FROM texts)
+SELECT source, lang, c.tokenizer AS tokenizer, CAST(count(*) AS BIGINT) AS n_docs,
+  CAST(sum(c.n_tokens) AS BIGINT) AS n_tokens, CAST(sum(c.n_chars) AS BIGINT) AS n_chars
+FROM counts GROUP BY ALL""",
+    "op8_licenses": f"""
+WITH tpl AS (SELECT name, {_bigrams("txt")} AS grams FROM (VALUES {_TEMPLATES}) AS v(name, txt)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+units AS (
+  SELECT r, i, i <= len(ls) AS line, CASE WHEN i <= len(ls) THEN ls[i] ELSE t END AS u
+  FROM docs, unnest(range(1, len(ls) + CASE WHEN len(ls) > 1 THEN 2 ELSE 1 END)) AS x(i)),
+grams AS (SELECT r, i, line, {_bigrams("u")} AS g FROM units),
+near AS (
+  SELECT r, i, line, name, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+  FROM grams JOIN tpl ON len(g) BETWEEN len(grams) / 1.5 - 1e-9 AND len(grams) * 1.5 + 1e-9),
+best AS (SELECT r, i, line, dice, name FROM near WHERE dice >= 0.8 - 1e-12
+  QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY dice DESC, name) = 1),
+each AS (
+  SELECT r, count(*) FILTER (line) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names,
+    arg_min(name, struct_pack(d := -dice, n := name)) AS best_license, max(dice) AS best_dice FROM best GROUP BY r)
+SELECT doc_id, CAST(len(list_filter(ls, lambda x: trim(x) <> '')) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines,
+  coalesce(names, '') AS licenses, best_license, CAST(best_dice AS DOUBLE) AS best_dice
+FROM docs LEFT JOIN each USING (r)""",
 }
