@@ -22,6 +22,7 @@ from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Names of HTML elements by their role, and words by which page builders name
 # the parts of a page that are not the article.
@@ -265,10 +266,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of pages."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [main_text(h) for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for htmls in batches:
+            yield pd.Series([main_text(h) for h in htmls], dtype=object)
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    texts = pages.select("page_id", "url", F.pandas_udf(run, "string")("html").alias("text"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

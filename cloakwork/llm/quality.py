@@ -18,7 +18,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of
@@ -149,17 +149,20 @@ def scores(model: dict, texts: list[str | None]) -> np.ndarray:
     return sigmoid(model["scale"] * np.concatenate([*out, np.zeros(0)]) + model["shift"])
 
 
-def score(docs: DataFrame, model: dict, cut: float) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs, over its whole text."""
+def scored(model: dict, text: str = "text") -> Column:
+    """The score of a text column."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(scores(model, texts.tolist()))
+
+    return F.pandas_udf(run, "double")(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = scores(model, b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= cut).astype(np.int32)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", (fold_of(F.col("doc_id")) == 2).alias("held_out"))
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+def score(docs: DataFrame, model: dict, cut: float) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs, over its whole text."""
+    rows = docs.select("doc_id", (fold_of(F.col("doc_id")) == 2).alias("held_out"), scored(model).alias("score"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def report(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
@@ -168,10 +171,4 @@ def report(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     """The rows of docs with a score of at least cut, with all their columns; no row is moved."""
-    model = train(*sample(docs, labels, "quality"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[scores(model, b["text"].tolist()) >= cut]
-
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(scored(train(*sample(docs, labels, "quality"))) >= cut)

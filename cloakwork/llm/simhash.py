@@ -78,13 +78,11 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.pandas_udf(run, "long")("text").alias("fp"))
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -304,3 +302,18 @@ def classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = 3, parts:
 def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     return classes(docs, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs with one document of each class: the one of smallest id. Rows without an id stay.
+
+    Ids to leave out meet the texts in an anti-join: while they are few, Spark sends them to the
+    texts, and deals both by id when they aren't. Rows that repeat an id are one document.
+    """
+    found = cut(classes(docs, distance).where("doc_id is not null"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not twice.isEmpty():
+        again = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        docs = docs.join(twice, "doc_id", "left_anti").unionByName(again.select(*docs.columns))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -302,18 +302,16 @@ def train(texts: list[str], y: np.ndarray, share: float | None = None, rounds: i
 def score(docs: DataFrame, model: dict, cut: float) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs, over its whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = None if "fixed" in model else Scorer(model)
-        for b in batches:
+        for texts in batches:
             if scorer is None:
-                s = np.full(len(b), model["fixed"])
+                yield pd.Series(np.full(len(texts), model["fixed"]))
             else:
-                s = sigmoid(model["a"] * scorer.highest(b["text"].tolist()) + model["b"])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= cut).astype(np.int32)})
+                yield pd.Series(sigmoid(model["a"] * scorer.highest(texts.tolist()) + model["b"]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", (fold_of(F.col("doc_id")) == 2).alias("held_out"))
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    rows = docs.select("doc_id", (fold_of(F.col("doc_id")) == 2).alias("held_out"), F.pandas_udf(run, "double")("text").alias("score"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def report(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
