@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii
 
 LEAST = 0.8
+_START = 240
 
 # Short notices by which texts name their licence (public wording), by SPDX id.
 TEMPLATES = {
@@ -44,9 +45,25 @@ def normalised(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """The distinct word bigrams of a text."""
-    words = F.split(normalised(text), " ", -1)
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+
+    def pairs(words: Column) -> Column:
+        n = F.size(words) - 1
+        return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    # the words are bound to a name, so that they are split once and not at every use
+    return F.array_distinct(F.transform(F.array(F.split(normalised(text), " ", -1)), pairs)[0])
+
+
+def bounded_bigrams(text: Column, high: int) -> Column:
+    """The bigrams of a text, or null where its start alone shows that there are more than high.
+
+    A text has at least as many distinct bigrams as distinct words but one, and any part of it has
+    no more of either than the whole; so nothing within the bound is lost.
+    """
+    start = F.substring(text, 1, _START)
+    whole_words = F.when(F.length(text) > _START, F.regexp_replace(start, r"[0-9A-Za-z\x{80}-\x{10FFFF}]+$", "")).otherwise(start)
+    words = F.array_distinct(F.split(normalised(whole_words), " ", -1))
+    return F.when(F.size(words) - 1 <= high, bigrams(text))
 
 
 def _best(templates: dict[str, list[str]], least: float):
@@ -82,7 +99,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     low, high = _up(least / (2 - least) * sizes[0]), int((2 - least) / least * sizes[-1] + 1e-9)
     df = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), F.coalesce("text", F.lit("")).alias("text"))
     n_lines = F.size(F.filter("lines", lambda x: F.trim(x) != "")).cast("long")
-    units = F.concat(F.transform("lines", bigrams), F.when(F.size("lines") > 1, F.array(bigrams(F.col("text")))).otherwise(F.expr("cast(array() as array<array<string>>)")))
+    units = F.concat(F.transform("lines", lambda x: bounded_bigrams(x, high)), F.when(F.size("lines") > 1, F.array(bounded_bigrams(F.col("text"), high))).otherwise(F.expr("cast(array() as array<array<string>>)")))
     df = df.select("doc_id", n_lines.alias("n_lines"), F.size("lines").alias("at"), units.alias("units"))
     # outside the bounds of all templates nothing is compared
     df = df.withColumn("near", F.filter(F.transform("units", lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: F.size(x["g"]).between(low, high)))
