@@ -134,7 +134,7 @@ def _hits_by_join(docs: DataFrame, hashed: DataFrame, lengths: list[int], nothin
     """
     docs = docs.withColumn("_k", F.xxhash64("w"))
     every = F.concat(*map(_places, lengths))
-    rows = docs.select("doc_id", "_k", "w", F.explode(every).alias("x")).select("doc_id", "_k", "x.at", "x.n", "x.h", F.expr("array_join(slice(w, x.at + 1, x.n), ' ')").alias("gram"))
+    rows = docs.select("doc_id", "_k", "w", F.explode_outer(every).alias("x")).where("x is not null").select("doc_id", "_k", "x.at", "x.n", "x.h", F.expr("array_join(slice(w, x.at + 1, x.n), ' ')").alias("gram"))
     found = rows.join(hashed, ["n", "h", "gram"], "left_semi")
     spans = found.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_set(F.struct("at", "n", "gram"))).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("_k").alias("_k2"), "spans")
@@ -157,8 +157,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline: int = INLINE_WINDOWS) -> DataFrame:
     """docs without the documents that hold a benchmark window. No row is moved."""
-    found = hits(_packed(docs), benchmark, window, inline)
-    return found.where(F.col("n_hit") == 0).select("row.*")
+    found = hits(_packed(docs), benchmark, window, inline).select("row", "n_hit", F.monotonically_increasing_id().alias("mark"))
+    # the mark keeps the filter above the projections: pushed below, it would be written out in
+    # terms of the words, with every step of the hashes repeated at each of its uses
+    return found.where((F.col("n_hit") == 0) & (F.col("mark") >= 0)).select("row.*")
 
 
 def _packed(docs: DataFrame) -> DataFrame:

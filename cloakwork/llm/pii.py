@@ -239,7 +239,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Texts are scanned twice, once for the patterns and once to rewrite, and are never shuffled.
     """
-    learnt = cut(scan(docs.select("text")).select("_tokens").where(F.size("_tokens") > 0))
+    learnt = cut(scan(docs.select("text")).select("_tokens"))
     confident = cut(patterns_of(learnt))
     # the row rides along whole, so that no name of its columns can clash with the scan's
     found = with_spans(scan(docs.select(F.struct("*").alias("row"), "text")), confident)
