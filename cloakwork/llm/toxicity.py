@@ -247,6 +247,8 @@ def gradients(p: dict, buckets: np.ndarray, chars: np.ndarray, ids: np.ndarray,
 
 def _fit(p: dict, items: list[list[str]], y: np.ndarray, epochs: int, rate: float, rng: np.random.Generator, batch: int = 96) -> None:
     adam = Adam(p, rate)
+    if len(items) < 20 * batch:  # few documents: smaller steps, and more rounds through them
+        batch, epochs = max(16, len(items) // 20), 3 * epochs
     for epoch in range(epochs):
         adam.rate = rate * (1 - 0.7 * epoch / max(1, epochs))
         order = rng.permutation(len(items))
