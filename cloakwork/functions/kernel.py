@@ -54,9 +54,11 @@ Rule = Callable[[str, str, list], str]
 
 
 def _plain(label: str, pattern: str) -> Rule:
-    find, put = P.python(pattern), mark(label)
+    find, put, needs = P.python(pattern), mark(label), P.NEEDS.get(label)
 
     def run(text: str, phase: str, hits: list) -> str:
+        if needs and not any(n in text for n in needs):
+            return text
         found = [m[0] for m in find.finditer(text)]
         if not found:
             return text

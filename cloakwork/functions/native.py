@@ -26,13 +26,32 @@ def pattern(label: str) -> str:
     return P.java(_PHASE1.get(label) or _PHASE2[label])
 
 
+def _guarded(text: Column, label: str, work, otherwise) -> Column:
+    """work(text) where the rule can match at all.
+
+    The text is bound to a name, so that a chain of rules grows by each rule's own size only.
+    """
+    needs = P.NEEDS.get(label)
+    if not needs:
+        return work(text)
+
+    def run(x: Column) -> Column:
+        can = x.contains(needs[0])
+        for other in needs[1:]:
+            can |= x.contains(other)
+        return F.when(can, work(x)).otherwise(otherwise(x))
+
+    return F.transform(F.array(text), run)[0]
+
+
 def replace(text: Column, label: str) -> Column:
-    return F.regexp_replace(text, F.lit(pattern(label)), F.lit(mark(label)))
+    return _guarded(text, label, lambda x: F.regexp_replace(x, F.lit(pattern(label)), F.lit(mark(label))), lambda x: x)
 
 
 def found(text: Column, label: str) -> Column:
     """Every match of a rule of the first two phases."""
-    return F.regexp_extract_all(text, F.lit(pattern(label)), F.lit(0))
+    none = F.expr("cast(array() as array<string>)")
+    return _guarded(text, label, lambda x: F.regexp_extract_all(x, F.lit(pattern(label)), F.lit(0)), lambda x: F.when(x.isNotNull(), none))
 
 
 def phase1(text: Column) -> Column:
@@ -111,8 +130,14 @@ def contains_ci(text: Column, word: str) -> Column:
 
 
 def first_keyword(text: Column, words: Iterable[str]) -> Column:
-    """The first of the words, in their order, that the text contains."""
-    return F.coalesce(F.lit(None).cast("string"), *(F.when(contains_ci(text, w), F.lit(w)) for w in words))
+    """The first of the words, in their order, that the text contains, whatever the case."""
+    words = [w for w in words if w.strip()]
+
+    def first(low: Column) -> Column:
+        return F.coalesce(F.lit(None).cast("string"), *(F.when(low.contains(w.lower()), F.lit(w)) for w in words))
+
+    # bound to a name, the small letters are made once and not for every word
+    return F.transform(F.array(F.lower(text)), first)[0]
 
 
 def blank(text: Column) -> Column:

@@ -23,6 +23,15 @@ PHASE2 = (
     ("SECRET", "env_var", r"(?i)(?:[A-Z_][A-Z0-9_]*_(?:KEY|TOKEN|SECRET|PASSWORD)|(?:KEY|TOKEN|SECRET|PASSWORD))[\s=:\"]+[A-Za-z0-9_./+=-]{6,}"),
     ("ADDRESS", "chinese_address", r"(?:北京市|上海市|天津市|重庆市|[一-龥]{2,}省|[一-龥]{2,}市|[一-龥]{2,}区|[一-龥]{2,}县)[一-龥A-Za-z0-9号弄栋单元室路街道巷-]{4,}"),
 )
+#: What a text must hold, one of these, for the rule to match: a test far cheaper than the pattern.
+NEEDS = {
+    "PRIVATE_KEY": ("-----",),
+    "AWS_KEY": ("AKIA",),
+    "DB_CONNECTION": ("://",),
+    "DELIVERY": ("快递单号", "运单号", "取件码"),
+    "ACCESS_CODE": ("门禁码", "门禁密码", "开门密码", "门锁密码"),
+    "EMAIL": ("@",),
+}
 #: Group 1 is the keyword, group 2 the value.
 CONTEXT = (
     ("CARD", r"(?i)(credit\s*card|card\s*(?:number|no\.?))\s+(?:is|are|was|were)(?:\s+(?:in|at|on|of|for))*\s*[\"']?([^\s\"']{4,})[\"']?"),
