@@ -408,7 +408,41 @@ add(
     "pipeline_outbound", SPOKEN, lambda df: parts.text_parts(_whole(df).outbound.select("request_id", "target", "uri", "body")).select("request_id", "target", "uri", "path", "text"),
     f"SELECT CAST(id AS VARCHAR) AS request_id, 'openai' AS target, 'https://api.deepseek.com/v1/chat/completions' AS uri, 'messages[' || CAST(i AS VARCHAR) || '].content' AS path, {swap(PHONE_SQL('text'), 'EMAIL')} AS text FROM {_ORDERED} WHERE text IS NOT NULL",
 )
-for _kind in ("anthropic", "gemini"):
-    add(f"transform_{_kind}", TURNS, lambda df, kind=_kind: _bodies(df).select("id", providers.outbound_body("body", "id", "id", TARGETS.targets[kind]).alias("body")))
-add("transform_responses", TURNS, lambda df: _shaped(df, "input").withColumns({"path": F.lit("/v1/responses"), "model": F.lit("deepseek-chat")}).select("id", providers.outbound_body("body", "path", "model", TARGETS.targets["openai"]).alias("body")))
-add("schema_clean", TURNS, lambda df: _bodies(df).select("id", providers.cleaned("body", "gemini").alias("body")))
+
+
+def _field(path: str, name: str) -> Column:
+    return F.get_json_object("body", path).alias(name)
+
+
+def _length(path: str) -> Column:
+    return F.coalesce(F.size(F.from_json(F.get_json_object("body", path), "array<string>")), F.lit(0)).cast("long").alias("n")
+
+
+_SYSTEM_SQL = "string_agg(text, chr(10) ORDER BY i) FILTER (lower(role) IN ('system', 'developer'))"
+_OTHERS_SQL = "count(*) FILTER (lower(role) NOT IN ('system', 'developer'))"
+add(
+    "transform_anthropic", TURNS,
+    lambda df: _bodies(df).select("id", providers.outbound_body("body", "id", "id", TARGETS.targets["anthropic"]).alias("body")).select("id", _field("$.model", "model"), _field("$.max_tokens", "max_tokens"), _field("$.stream", "stream"), _field("$.system", "system"), _length("$.messages")),
+    f"SELECT id, 'm1' AS model, '4096' AS max_tokens, 'false' AS stream, {_SYSTEM_SQL} AS system, {_OTHERS_SQL} AS n FROM {_ORDERED} GROUP BY id",
+)
+add(
+    "transform_gemini", TURNS,
+    lambda df: _bodies(df).select("id", providers.outbound_body("body", "id", "id", TARGETS.targets["gemini"]).alias("body")).select(
+        "id", _length("$.contents"), F.array_join(F.from_json(F.get_json_object("body", "$.systemInstruction.parts"), "array<struct<text:string>>")["text"], "\n").alias("system"),
+        F.array_join(F.from_json(F.get_json_object("body", "$.contents"), "array<struct<role:string>>")["role"], ",").alias("roles"),
+    ),
+    f"SELECT id, {_OTHERS_SQL} AS n, {_SYSTEM_SQL} AS system, string_agg(CASE WHEN lower(role) = 'assistant' THEN 'model' ELSE 'user' END, ',' ORDER BY i) FILTER (lower(role) NOT IN ('system', 'developer')) AS roles FROM {_ORDERED} GROUP BY id",
+)
+add(
+    "transform_responses", TURNS,
+    lambda df: _shaped(df, "input").withColumns({"path": F.lit("/v1/responses"), "model": F.lit("deepseek-chat")}).select("id", providers.outbound_body("body", "path", "model", TARGETS.targets["openai"]).alias("body")).select(
+        "id", F.array_join(F.from_json(F.get_json_object("body", "$.messages"), "array<struct<role:string>>")["role"], ",").alias("roles"), _field("$.messages[0].content[0].text", "first"), _field("$.input", "input"),
+    ),
+    f"SELECT id, string_agg(CASE role WHEN 'system' THEN 'system' WHEN 'assistant' THEN 'assistant' ELSE 'user' END, ',' ORDER BY i) AS roles, min(text) FILTER (i = 0) AS first, CAST(NULL AS VARCHAR) AS input FROM {_ORDERED} GROUP BY id",
+)
+SCHEMAS = """SELECT p_partkey AS id, p_name AS name, concat('{"tools":[{"function":{"name":"', p_name, '","parameters":{"type":"object","format":"f","properties":{"a":{"type":"string","minLength":', CAST(p_size AS STRING), '},"pattern":{}},"additionalProperties":false}}}]}') AS body FROM {part}"""
+add(
+    "schema_clean", SCHEMAS, lambda df: df.select("id", providers.cleaned("body", "gemini").alias("gemini"), providers.cleaned("body", "openai").alias("openai")),
+    """SELECT id, '{"tools":[{"function":{"name":"' || name || '","parameters":{"type":"object","properties":{"a":{"type":"string"}}}}}]}' AS gemini,
+  '{"tools":[{"function":{"name":"' || name || '","parameters":{"type":"object","properties":{"a":{"type":"string"}},"additionalProperties":false}}}]}' AS openai FROM {corpus}""",
+)
