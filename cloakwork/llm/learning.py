@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import cut, fold_of
 
-#: A model is fitted on at most so many documents of either label, none longer than SAMPLE_CHARS.
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 60_000
+#: A model is fitted on at most so many documents of either label, none longer than SAMPLE_CHARS
+#: and no more than SAMPLE_TOTAL characters of either label together.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 3000, 60_000, 40_000_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, float | None]:
@@ -26,13 +27,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMP
     picked = [known.where(F.col("_y") == y).orderBy(by_hash, "doc_id").limit(2 * per_class) for y in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.length("text") <= chars)
-    pulled = sorted({(r["_y"], r["h"], r["doc_id"]): r["text"] for r in rows.select("doc_id", "text", "_y", by_hash.alias("h")).toLocalIterator()}.items())
-    texts: list[str] = []
-    ys: list[int] = []
-    for y in (0, 1):
-        own = [text for (label_, _, _), text in pulled if label_ == y][:per_class]
-        texts += own
-        ys += [y] * len(own)
+    rows = cut(rows.select("doc_id", "text", "_y", by_hash.alias("h"), F.length("text").alias("n")))
+    found = sorted({(r["_y"], r["h"], r["doc_id"]): r["n"] for r in rows.select("_y", "h", "doc_id", "n").collect()}.items())
+    wanted, room = [], {0: [per_class, SAMPLE_TOTAL], 1: [per_class, SAMPLE_TOTAL]}
+    for (y, _, doc_id), n in found:
+        if room[y][0] and n <= room[y][1]:
+            wanted.append(doc_id)
+            room[y] = [room[y][0] - 1, room[y][1] - n]
+    kept = set(wanted)
+    pulled = {r["doc_id"]: (r["_y"], r["text"]) for r in rows.toLocalIterator() if r["doc_id"] in kept}
+    ys = [pulled[i][0] for i in wanted]
+    texts = [pulled[i][1] for i in wanted]
     share = counts.get(1, 0) / sum(counts.values()) if counts else None
     return texts, np.array(ys, np.float32), share
 

@@ -75,3 +75,25 @@ def test_near_copies_leave_one_each(spark):
     docs = table(spark, SF, "documents")
     once = simhash.one_of_each(docs)
     assert simhash.report(once).groupBy("component_id").count().where("count > 1").isEmpty()
+
+
+def test_odd_rows_pass_every_stage(spark):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row string, topic string, weight double, _t string, count int, w string"
+    long = "word " * 60_000
+    odd = [
+        (1, None, None, None, None, None, None, None, None, None, None), (None, "a null id stays, with its text", "en", "s", 30, "r", "t", 1.0, "x", 1, "w"), (3, "", "en", "s", 0, "r", None, None, "x", 1, "w"),
+        (4, "twice the same row", "en", "s", 18, "r", "t", 1.0, "x", 1, "w"), (4, "twice the same row", "en", "s", 18, "r", "t", 1.0, "x", 1, "w"), (5, long, "en", "s", len(long), "r", "t", 1.0, "x", 1, "w"), (6, "mail a@b.co", "", "", 11, "", "", 0.0, "", 0, ""),
+    ]
+    docs = spark.createDataFrame(odd, columns)
+    kept = dict(corpus_pipeline.STAGES)
+    near = kept["near_dedup"](spark, docs, SF)
+    assert near.columns == docs.columns and sorted(r.doc_id or 0 for r in near.collect()) == [0, 1, 4, 5, 6]  # 1 and 3 have no words
+    clean = kept["decontamination"](spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == len(odd)
+    redacted = kept["pii"](spark, docs, SF)
+    assert redacted.columns == docs.columns and sorted(r.text or "" for r in redacted.collect())[3:5] == ["mail [EMAIL]", "twice the same row"]
+    assert set(docs.columns) <= set(kept["mixing"](spark, docs, SF).columns)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert set(docs.columns) <= set(out.columns) and out.count() <= len(odd)
+        assert stage(spark, docs.limit(0), SF).count() == 0
