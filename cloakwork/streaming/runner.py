@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cloakwork.config import Config
 from cloakwork.operators import audit, semantic
@@ -49,41 +49,41 @@ def day_counts(parts: DataFrame, at: str, watermark: str = "1 hour") -> DataFram
     return rows.groupBy(day.alias("day"), "h.phase", "h.label").agg(F.sum("h.count").alias("n"))
 
 
-class _Cached(StatefulProcessor):
-    """Answers by key, kept until they haven't been asked for during the expiry."""
-
-    def __init__(self, extract: Callable[[str], str], expiry: timedelta):
-        self.extract, self.expiry = extract, expiry
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("raw", "raw string", int(self.expiry.total_seconds() * 1000))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            known = self.state.get()
-            used, failure, raw = False, None, known[0] if known else None
-            if raw is None:
-                used = True
-                try:
-                    raw = self.extract(batch["text"].iloc[0])
-                except TimeoutError:
-                    failure = "timeout"
-                except (OSError, ValueError, RuntimeError) as e:
-                    failure = str(e)
-            if raw is not None:
-                self.state.update((raw,))  # written again on every read: the expiry slides
-            n = len(batch)
-            # only the first of equal texts asks; the rest of the batch finds its answer
-            yield pd.DataFrame({"cache_key": key[0], "id": batch["id"], "text": batch["text"], "raw": [raw] * n, "failure": [failure] * n, "was_model_used": [used and i == 0 for i in range(n)]})
-
-    def close(self) -> None:
-        pass
+ANSWER = "cache_key string, id string, text string, raw string, failure string, was_model_used boolean"
 
 
 def cached_answers(queue: DataFrame, extract: semantic.Extractor, expiry: timedelta = EXPIRY) -> DataFrame:
-    """cache_key, id, text, raw, failure, was_model_used for a stream of cache_key, id, text."""
-    out = "cache_key string, id string, text string, raw string, failure string, was_model_used boolean"
-    return queue.select("cache_key", "id", "text").groupBy("cache_key").transformWithStateInPandas(_Cached(extract, expiry), out, "append", "processingTime")
+    """ANSWER columns for a stream of cache_key, id, text: equal keys ask the model once.
+
+    An answer is kept as the key's state until it hasn't been asked for during the expiry: every
+    use sets the clock back. Failures aren't kept. Run it with a processing-time trigger: a query
+    whose state can time out never has a last batch.
+    """
+    wait = int(expiry.total_seconds() * 1000)
+
+    def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(batches)
+        used, failure, raw = False, None, state.get[0] if state.exists else None
+        if raw is None:
+            used = True
+            try:
+                raw = extract(rows["text"].iloc[0])
+            except TimeoutError:
+                failure = "timeout"
+            except (OSError, ValueError, RuntimeError) as e:
+                failure = str(e)
+        if raw is not None:
+            state.update((raw,))
+            state.setTimeoutDuration(wait)
+        n = len(rows)
+        # of equal texts in a batch only the first asks; the others find its answer
+        yield pd.DataFrame({"cache_key": key[0], "id": rows["id"], "text": rows["text"], "raw": [raw] * n, "failure": [failure] * n, "was_model_used": [used and failure is None and i == 0 for i in range(n)]})
+
+    grouped = queue.select("cache_key", "id", "text").groupBy("cache_key")
+    return grouped.applyInPandasWithState(answer, ANSWER, "raw string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def write_audit(stream_parts: DataFrame, folder: str, at: str, config: Config = Config()) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """The whole dataflow, in batch and as a stream, and the registered queries."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,27 @@ def test_stream_of_parts_and_days(spark, tmp_path):
     assert sorted(r.n for r in spark.table("days").collect()) == [1, 2]
 
 
+def test_stream_cache_asks_once(spark, tmp_path):
+    batches = [[("k1", "a", "hello"), ("k1", "b", "hello"), ("k2", "c", "slow")], [("k1", "d", "hello"), ("k2", "e", "slow")]]
+    schema = "cache_key string, id string, text string"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = runner.cached_answers(stream, extract)
+    query = out.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    done = spark.read.schema(runner.ANSWER)
+    try:
+        for _ in range(60):  # a query whose state times out has no last batch to wait for
+            time.sleep(1)
+            if (tmp_path / "out").exists() and done.json(str(tmp_path / "out")).count() == 5:
+                break
+    finally:
+        query.stop()
+    got = {r.id: (r.raw, r.failure, r.was_model_used) for r in done.json(str(tmp_path / "out")).collect()}
+    assert sum(used for _, _, used in got.values()) == 1 and {got[i][0] for i in "abd"} == {"[]"}
+    assert got["c"] == got["e"] == (None, "timeout", False)
+
+
 def test_every_query_runs_and_matches_sql(spark):
     import duckdb
 
