@@ -85,15 +85,17 @@ def text_parts(requests: DataFrame, body: str = "body") -> DataFrame:
     return parsed.select(*keep, F.posexplode(parts_of(F.col("_v"))).alias("part_idx", "_p")).select(*keep, "part_idx", "_p.*")
 
 
+def put_texts(root, new):
+    """root with the texts of a map or of pairs (path, text) put in place."""
+    for path, text in (new.items() if hasattr(new, "items") else new or ()):
+        jsontext.put(root, path, text)
+    return root
+
+
 def patched(body: str, texts: str) -> Column:
     """The body with the texts of a map (path to text) put in place; all else stays as it is."""
 
-    def change(root, new):
-        for path, text in (new.items() if hasattr(new, "items") else new or ()):
-            jsontext.put(root, path, text)
-        return root
-
-    return jsontext.rewriting(change, body, texts)
+    return jsontext.rewriting(put_texts, body, texts)
 
 
 def write_back(requests: DataFrame, parts: DataFrame) -> DataFrame:

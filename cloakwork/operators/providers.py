@@ -14,6 +14,7 @@ from cloakwork.functions import jsontext
 from cloakwork.functions.jsontext import dump
 
 from . import routing
+from .parts import put_texts
 
 # Keywords that tool schemas may not hold, keys that the chat interface doesn't
 # take, names of roles, headers and the interface version.
@@ -287,6 +288,36 @@ def outbound_body(body: str, path: str, model: str, target: Target) -> Column:
     return jsontext.rewriting(lambda b, convert: responses_to_chat(b) if convert else b, body, responses)
 
 
+def _by_target(name: Column, targets: dict[str, Target], make) -> Column:
+    """make(target) of the row's target, by its name."""
+    return F.coalesce(*(F.when(name == n, make(t)) for n, t in targets.items()))
+
+
+def finished(targets: dict[str, Target], name: str = "target", body: str = "body", texts: str = "texts", path: str = "path", query: str = "query", model: str = "model") -> tuple[Column, Column, Column]:
+    """Body, address and response headers of requests to any of the targets, in one pass.
+
+    A body is opened once: its texts (a map of path to text, or null) are put in place, its tools
+    cleaned, and the whole turned into what its target takes.
+    """
+    shapes = {n: (family(t), t.provider) for n, t in targets.items()}
+
+    def change(root, new, target, convert):
+        kind, provider = shapes[target]
+        put_texts(root, new)
+        if isinstance(_get(root, "tools"), list):
+            root["tools"] = clean(root["tools"], provider)
+        if kind == "openai":
+            return responses_to_chat(root) if convert else root
+        return to_anthropic(root) if kind == "anthropic" else to_gemini(root)
+
+    own = F.col(name)
+    chat = _by_target(own, targets, lambda t: chat_path(below_base(F.col(path), t)).isNotNull() & (routing.compatibility(t, F.col(model)) == routing.DEEPSEEK) if family(t) == "openai" else F.lit(False))
+    out = jsontext.rewriting(change, body, texts, name, chat)
+    address = _by_target(own, targets, lambda t: uri(outbound_path(F.col(path), F.col(query), F.col(model), t), t))
+    headers = _by_target(own, targets, lambda t: F.create_map(*(F.lit(x) for pair in response_headers(t).items() for x in pair)).cast("map<string,string>"))
+    return out, address, headers
+
+
 def response_headers(target: Target) -> dict[str, str]:
     kind = family(target)
     if kind == "openai":

@@ -6,6 +6,7 @@ shuffles where texts of one request gather and, if a model takes part, where equ
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -63,10 +64,12 @@ def with_semantics(df: DataFrame, extract: semantic.Extractor, config: Config =
     return joined.withColumn("content", F.coalesce("final", "content")), results
 
 
-def run(requests: DataFrame, config: Config, extract: semantic.Extractor | None = None, cache: DataFrame | None = None, at: Column | None = None) -> Outcome:
+def run(requests: DataFrame, config: Config, extract: semantic.Extractor | None = None, cache: DataFrame | None = None, at: Column | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> Outcome:
     """requests: request_id, method, path, query, content_length, transfer_encoding, body.
 
-    at: the time of audit rows (now, by default).
+    at: the time of audit rows (now, by default). hold: what keeps the redacted parts (persist, or
+    a table written and read again) for callers that use several outputs; without it each output
+    redacts for itself.
     """
     checked = source.checked(requests, config)
     live = checked.where("not bypassed and status = 200")
@@ -79,33 +82,29 @@ def run(requests: DataFrame, config: Config, extract: semantic.Extractor | None
     else:
         none = {"status": "string", "failure": "string", "was_model_used": "boolean", "model_hits": f"array<{HIT}>", "final": "string", "post_hits": f"array<{HIT}>"}
         df = df.withColumns({k: F.lit(None).cast(v) for k, v in none.items()})
-
+    if hold is not None:
+        df = hold(df)
     per_request = df.groupBy("request_id").agg(
         classify.block_of(F.col("part_idx"), F.col("action"), F.col("status"), F.col("hit_level"), config).alias("block"),
         F.map_from_entries(F.collect_list(F.struct("path", F.col("content").alias("text")))).alias("texts"),
     )
     joined = live.join(per_request, "request_id", "left")
-    body = F.when(F.size("texts") > 0, parts.patched("body", "texts")).otherwise(F.col("body"))
     model = F.try_variant_get(F.try_parse_json("body"), "$.model", "string")
     spoken = routing.protocol(F.col("path"), F.try_parse_json("body"))
     routed = joined.withColumns({"target": routing.target_name(spoken, config), "model": model})
+    # every target's requests go on together: the redaction behind them runs once
 
     failed = routed.where("block is not null or target is null")
     message = F.coalesce("block.message", F.lit(routing.target_error(config)))
     late = failed.select("request_id", F.coalesce("block.status", F.lit(502)).alias("status"), audit.error_body(message).alias("body"))
     early = checked.where("not bypassed and status <> 200").select("request_id", "status", audit.error_body(F.col("message")).alias("body"))
 
-    sent = None
-    fine = routed.where("block is null and target is not null").withColumn("body", body)
-    for name, target in config.targets.items():
-        own = fine.where(F.col("target") == name)
-        own = own.withColumn("body", providers.cleaned("body", target.provider))
-        own = own.withColumn("out_path", providers.outbound_path(F.col("path"), F.col("query"), F.col("model"), target))
-        own = own.withColumn("body", providers.outbound_body("body", "path", "model", target))
-        own = source.outbound(own.select("request_id", "method", "target", providers.uri(F.col("out_path"), target).alias("uri"), "body"))
-        own = own.withColumn("response_headers", F.create_map(*(F.lit(x) for pair in providers.response_headers(target).items() for x in pair)).cast("map<string,string>"))
-        sent = own if sent is None else sent.unionByName(own)
-    if sent is None:
+    fine = routed.where("block is null and target is not null")
+    if config.targets:
+        new_body, address, headers = providers.finished(config.targets)
+        sent = fine.select("request_id", "method", "target", address.alias("uri"), new_body.alias("body"), headers.alias("response_headers"))
+        sent = source.outbound(sent)
+    else:
         sent = fine.limit(0).select("request_id", "method", "target")
 
     now = F.current_timestamp() if at is None else at

@@ -31,11 +31,12 @@ def start(requests: DataFrame, config: Config, folder: str, extract: semantic.Ex
 
     def batch(df: DataFrame, n: int) -> None:
         held = df.persist()
+        outcome = pipeline.run(held, config, extract, hold=DataFrame.persist)
         try:
-            outcome = pipeline.run(held, config, extract)
             for name, rows in (("outbound", outcome.outbound), ("rejects", outcome.rejects), ("audit", outcome.audit)):
                 rows.write.mode("overwrite").json(f"{folder}/{name}/batch={n}", ignoreNullFields=False)
         finally:
+            outcome.parts.unpersist()
             held.unpersist()
 
     writer: DataStreamWriter = requests.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/_checkpoint")
