@@ -199,8 +199,10 @@ def with_spans(scanned: DataFrame, confident: DataFrame, inline: int = INLINE_PA
             if own:
                 found.append(_behind(own, rank, [r["pattern"] for r in rows if r["rank"] < rank]))
         return scanned.withColumn("_spans", F.array_sort(F.concat(*found)))
-    scanned = scanned.withColumn("_row", F.monotonically_increasing_id())
-    unseen = scanned.select("_row", F.explode(F.filter("_tokens", lambda x: x["rank"] == -1)).alias("x"))
+    # rows meet their spans by what the spans follow from; ids of rows might change when a lost
+    # partition is made again
+    scanned = scanned.withColumn("_row", F.xxhash64(F.to_json("_tokens")))
+    unseen = scanned.select("_row", F.explode_outer("_tokens").alias("x")).where("x.rank = -1")
     hit = unseen.select("_row", "x.start", "x.end", F.explode("x.patterns").alias("pattern")).join(confident, "pattern")
     spans = hit.groupBy("_row", "start", "end").agg(F.min("rank").alias("rank")).groupBy("_row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("_more"))
     joined = scanned.join(spans, "_row", "left").drop("_row")
