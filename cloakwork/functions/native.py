@@ -54,6 +54,11 @@ def found(text: Column, label: str) -> Column:
     return _guarded(text, label, lambda x: F.regexp_extract_all(x, F.lit(pattern(label)), F.lit(0)), lambda x: F.when(x.isNotNull(), none))
 
 
+def matches(text: Column, label: str) -> Column:
+    """Whether a rule of the first two phases matches anywhere."""
+    return _guarded(text, label, lambda x: x.rlike(pattern(label)), lambda x: F.when(x.isNotNull(), False))
+
+
 def phase1(text: Column) -> Column:
     for label, _ in P.PHASE1:
         text = replace(text, label)
@@ -149,7 +154,7 @@ def any_rule_hits(text: Column, rules: Rules = Rules()) -> Column:
     labels = [label for label, _ in P.PHASE1] + [label for label, switch, _ in P.PHASE2 if getattr(rules, switch)]
     out = F.lit(False)
     for label in labels:
-        out |= text.rlike(pattern(label))
+        out |= matches(text, label)
     return out
 
 

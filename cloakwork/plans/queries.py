@@ -211,7 +211,7 @@ _CHECK_SQL = f"""SELECT id, text, CASE WHEN trim(text) = '' THEN 'None' WHEN t I
   CAST(CASE WHEN trim(text) = '' THEN 0 WHEN t IS NOT NULL OR any_hit THEN 1 WHEN h IS NOT NULL THEN 0.5 ELSE 0 END AS DOUBLE) AS confidence
   FROM (SELECT *, {_FIRST(Config().triggers)} AS t, {_FIRST(Config().hints)} AS h, {_ANY} AS any_hit FROM {{corpus}})"""
 add("classify_level", CLASSIFY, _classified, f"SELECT id, hit_level, reason, confidence FROM ({_CHECK_SQL})")
-add("classify_documents", DOCUMENTS, lambda df: df.select("id", classify.check(F.col("text"), F.col("text").rlike(native.pattern("EMAIL"))).alias("d")).select("id", "d.*"), f"SELECT id, hit_level, reason, confidence FROM ({_CHECK_SQL})")
+add("classify_documents", DOCUMENTS, lambda df: df.select("id", classify.check(F.col("text"), native.matches(F.col("text"), "EMAIL")).alias("d")).select("id", "d.*"), f"SELECT id, hit_level, reason, confidence FROM ({_CHECK_SQL})")
 STRICT = Config(strict=True, max_part_units=30)
 
 
