@@ -288,11 +288,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = 3, parts: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that is reached) for every row of docs."""
+def classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = 3, parts: int = 4, also: DataFrame | None = None) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id that is reached) for every row of docs.
+
+    also: further links a, b between fingerprints.
+    """
     rows = cut(fingerprints(docs, shingle))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(fps, distance, parts))
+    edges = links(fps, distance, parts)
+    roots = components(edges if also is None else edges.union(also.select("a", "b")))
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
@@ -304,13 +308,13 @@ def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return classes(docs, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, also: DataFrame | None = None) -> DataFrame:
     """docs with one document of each class: the one of smallest id. Rows without an id stay.
 
     Ids to leave out meet the texts in an anti-join: while they are few, Spark sends them to the
     texts, and deals both by id when they aren't. Rows that repeat an id are one document.
     """
-    found = cut(classes(docs, distance).where("doc_id is not null"))
+    found = cut(classes(docs, distance, also=also).where("doc_id is not null"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not twice.isEmpty():

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import decontaminate, mixing, pii, quality, simhash
+from cloakwork.llm import decontaminate, mixing, nearcopies, pii, quality, simhash
 from cloakwork.llm.common import shared_folder, table
 
 
@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays: by operator 4's links and by five-word shingles."""
+    return simhash.one_of_each(docs, also=nearcopies.links(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
