@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,16 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder, on one machine only: on a cluster it would be another folder on every machine."""
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared checkpoint folder and read them back.
 
     The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where
-    that is unset, as in tests on one machine.
+    that is unset and the session runs on one machine, as in tests.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cloakwork-checkpoint-"))
+        context.setCheckpointDir(_own_folder(spark, "cloakwork-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -38,14 +46,44 @@ def fold_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4, F.lit(2))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt evenly to as many tasks as a shuffle has, or as there are cores if these are more.
+
+    What a shuffle or a checkpoint gives back is coalesced by its bytes; rows that each start much
+    work are dealt anew.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
+
+
+#: At most so many keys are held to be hot.
+HOT_KEYS = 200
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined to keyed, which has one row a key and, in column n, how many rows have the key.
+
+    The HOT_KEYS most frequent keys are broadcast (so many rows at most), so that none of them is one
+    task's work; all others meet by shuffle. Give tables that are cheap to read twice.
+    """
+    hot = cut(keyed.orderBy(F.desc(n), key).limit(HOT_KEYS))
+    names = hot.select(F.col(key).alias("_hot"))
+    some = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(names), rows[key] == names["_hot"], "left_anti")
+    return some.unionByName(rest.join(keyed, key).select(*some.columns))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set."""
+    """The folder that driver and executors share; a temporary one where none is set, on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="cloakwork-shared-")
+        folder = known.get() if known.isDefined() else _own_folder(spark, "cloakwork-shared-")
     return folder.rstrip("/")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any store that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

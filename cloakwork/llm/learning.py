@@ -16,30 +16,29 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 3000, 60_000, 40_000_000
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, float | None]:
     """Texts and labels to learn from, and the share of label 1 among all rows that may be learnt from.
 
-    The texts are those of the first per_class documents of either label by a hash of
-    their id, of those not held out (crc32 of the id modulo 4 is not 2). Only their ids and
-    labels are broadcast (at most 2 * per_class rows); the texts are read in one pass.
+    The texts are those of the first per_class documents of either label by a hash of their id, of
+    those that are in docs, short enough and not held out (crc32 of the id modulo 4 is not 2). A label
+    that is given twice is the larger one; of an id with several texts the one of smallest hash counts.
+    Labels meet ids, lengths and hashes first; then at most 2 * per_class texts are read and collected.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 2))
     known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("_y"))
-    by_hash = F.xxhash64("doc_id")
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    picked = [known.where(F.col("_y") == y).orderBy(by_hash, "doc_id").limit(2 * per_class) for y in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.length("text") <= chars)
-    rows = cut(rows.select("doc_id", "text", "_y", by_hash.alias("h"), F.length("text").alias("n")))
-    found = sorted({(r["_y"], r["h"], r["doc_id"]): r["n"] for r in rows.select("_y", "h", "doc_id", "n").collect()}.items())
-    wanted, room = [], {0: [per_class, SAMPLE_TOTAL], 1: [per_class, SAMPLE_TOTAL]}
-    for (y, _, doc_id), n in found:
-        if room[y][0] and n <= room[y][1]:
-            wanted.append(doc_id)
-            room[y] = [room[y][0] - 1, room[y][1] - n]
-    kept = set(wanted)
-    pulled = {r["doc_id"]: (r["_y"], r["text"]) for r in rows.toLocalIterator() if r["doc_id"] in kept}
-    ys = [pulled[i][0] for i in wanted]
-    texts = [pulled[i][1] for i in wanted]
+    sized = docs.select("doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("n")).where(F.col("n") <= chars)
+    sized = cut(sized.join(known, "doc_id").groupBy("doc_id", "_y").agg(F.min(F.struct("th", "n")).alias("t")).select("doc_id", "_y", "t.th", "t.n"))
+    wanted = []
+    for y in (0, 1):
+        room = SAMPLE_TOTAL
+        for r in sized.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
+            if r["n"] <= room:
+                room -= r["n"]
+                wanted.append((r["doc_id"], r["th"], y))
     share = counts.get(1, 0) / sum(counts.values()) if counts else None
-    return texts, np.array(ys, np.float32), share
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(wanted, f"doc_id {kind}, th long, _y int")
+    rows = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "th"])
+    pulled = {r["doc_id"]: r["text"] for r in cut(rows.groupBy("doc_id").agg(F.min("text").alias("text"))).toLocalIterator()}
+    return [pulled[i] for i, _, _ in wanted], np.array([y for _, _, y in wanted], np.float32), share
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -2,12 +2,16 @@
 
 Words are those of operator 4 (ASCII capitals lowered, split at ASCII white space). MinHash in BANDS bands
 of ROWS finds candidates: a pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8**6)**60, about
-1e-8, and closer pairs with less. Candidates are only stars, one for each band's group; their components
-are blocks, and within a block all overlaps are counted from the sets themselves, so that every link is
-exact and none is left out by which pair a star names. Only a spanning forest is given on.
-
-Cases: wordless texts take no part (operator 4 links them); fewer words than a shingle make one shingle
-of all words; ids are not looked at.
+1e-8, and closer pairs with less. Candidates of a band's key are verified from the sets themselves, in two
+steps. First all texts of a key against two of them (its smallest and its largest node): that is linear, and
+as a rule unites a group of copies, however large. Then, of keys whose texts still stand in several
+components, all texts with each other, in pieces of at most PIECE_TEXTS texts and PIECE_HASHES hashes, two
+pieces a task: so no link is left out by which pair was looked at first, and no task holds a whole group.
+Only links that connect are given on, never all pairs.
+
+Cases: null and wordless texts take no part (operator 4 links them); fewer words than a shingle make one
+shingle of all words; copies of one text are one node; ids and other columns are not looked at; texts of any
+length are read whole; an empty table gives no links.
 """
 
 from __future__ import annotations
@@ -17,26 +21,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .simhash import _roots, components, fingerprint
+from .common import cut, join_hot, spread
+from .simhash import _roots, components, shingle_hashes
 
 SHINGLE = 5
 #: The least Jaccard as a fraction of whole numbers: compared without rounding.
 LEAST = (4, 5)
 BANDS, ROWS = 60, 6
-_PIECE = 1 << 11
+PIECE_TEXTS, PIECE_HASHES = 256, 1 << 20
+#: A set that stands for a hot key is broadcast only up to so many hashes (HOT_KEYS of them: 80 MB).
+HOT_HASHES = 50_000
+_PIECE = 1 << 8
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-    n = max(1, len(words) - shingle + 1) if words else 0
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint64, n))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle, 0)]))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -73,30 +77,81 @@ def alike(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> np.ndarray:
     return _roots(n, np.concatenate(a), np.concatenate(b))
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """a, b: operator 4's fingerprints of texts that are alike; a text's fingerprint stands for it."""
+def _close(shared: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m hashes that share so many have the least Jaccard."""
+    return F.lit(sum(LEAST)) * shared >= F.lit(LEAST[0]) * (n + m)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """node (xxhash64 of the text), n (its shingles), keys (of its bands): a row a distinct text."""
 
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([bands(shingles(t)) for t in texts])
+            sets = [shingles(t) for t in texts]
+            yield pd.DataFrame({"n": [len(s) for s in sets], "keys": [bands(s) for s in sets]})
+
+    found = docs.select(F.xxhash64("text").alias("node"), F.pandas_udf(run, "struct<n:long,keys:array<long>>")("text").alias("x"))
+    return found.where("x.n > 0").groupBy("node").agg(F.first("x").alias("x")).select("node", "x.n", "x.keys")
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, s (its sorted hashes) for the texts that are among nodes."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(t).view(np.int64).tolist() for t in texts])
+
+    texts = docs.select(F.xxhash64("text").alias("node"), "text").where("text is not null").groupBy("node").agg(F.first("text").alias("text"))
+    return texts.join(nodes, "node", "left_semi").select("node", F.pandas_udf(run, "array<long>")("text").alias("s")).withColumn("n", F.size("s"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b (many with the same a) that are alike."""
+    other = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
+    counts = pairs.groupBy("a").agg(F.count("*").alias("many"))
+    first = sets.join(counts, F.col("node") == F.col("a")).select("a", F.col("s").alias("sa"), F.col("n").alias("na"), F.when(F.col("n") <= HOT_HASHES, F.col("many")).otherwise(0).alias("many"))
+    both = join_hot(pairs.join(other, "b"), cut(first), "a", "many")
+    return both.where(_close(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def _rest(met: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that the keys in met hold beyond those found."""
+    roots = components(found)
+    stand = cut(met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")))
+    sums = (F.min("part") != F.max("part")).alias("open"), F.count("*").alias("many"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")
+    # bands that hold the very same texts are looked at once
+    left = stand.groupBy("key").agg(*sums).where("open").groupBy("many", "mark").agg(F.min("key").alias("key"))
+    rows = join_hot(stand.drop("part"), cut(left.select("key", "many")), "key", "many").join(sets.select("node", "n"), "node")
+    pieces = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / PIECE_TEXTS), F.ceil(F.sum("n") / PIECE_HASHES)).cast("int").alias("pieces"), F.count("*").alias("many"))
+    rows = join_hot(cut(rows.select("key", "node")), cut(pieces), "key", "many")
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("node", F.lit(7)), "pieces")).select("key", "node", "p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
+    rows = rows.select("key", "node", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")).join(sets.select("node", "s"), "node")
+    groups = rows.groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", "s")).alias("x")).where(F.size("x") > 1)
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            a, b = [], []
-            for texts in batch["texts"]:
-                texts = sorted(texts)
-                root = alike([shingles(t) for t in texts])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x in batch["x"]:
+                nodes = np.array([y["node"] for y in x], np.int64)
+                root = alike([np.asarray(y["s"], np.int64).view(np.uint64) for y in x])
                 child = np.nonzero(root != np.arange(len(root)))[0]
-                fps = {i: fingerprint(texts[i]) for i in {*child.tolist(), *root[child].tolist()}}
-                a += [fps[i] for i in child.tolist()]
-                b += [fps[i] for i in root[child].tolist()]
-            yield pd.DataFrame({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
-
-    named = docs.select(F.xxhash64("text").alias("node"), "text").where("text is not null")
-    found = named.select("node", F.explode(F.pandas_udf(keys, "array<long>")("text")).alias("key"))
-    groups = found.groupBy("key").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
-    stars = groups.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b").distinct()
-    near = components(cut(stars))  # node, root: the smallest node of a block is its root
-    near = cut(near.union(near.select("root", "root").distinct()).toDF("node", "block"))
-    blocks = named.join(near, "node").groupBy("block").agg(F.collect_set("text").alias("texts"))
-    return blocks.select("texts").mapInPandas(linked, "a long, b long").distinct()
+                a.append(nodes[root[child]])
+                b.append(nodes[child])
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return spread(groups.select("x")).mapInPandas(linked, "a long, b long").distinct()
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """a, b: texts that are alike, by their nodes (xxhash64 of the text); all others follow over these."""
+    rows = cut(keyed(docs))
+    each = spread(rows).select("node", "n", F.explode("keys").alias("key"))
+    me = F.struct("node", "n")
+    ends = cut(each.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.count("*").alias("many")).where("many > 1"))
+    met = cut(join_hot(each, ends, "key", "many").select("key", "node", "n", "low", "high"))
+    sets = cut(sets_of(docs, met.select("node").distinct()))
+    stars = [met.select(F.col(f"{c}.node").alias("a"), F.col("node").alias("b"), F.col(f"{c}.n").alias("na"), "n") for c in ("low", "high")]
+    pairs = stars[0].union(stars[1]).where("a <> b").where(_close(F.least("na", "n"), F.col("na"), F.col("n")))
+    pairs = cut(pairs.select("a", "b").distinct())
+    found = cut(_verified(pairs, sets))
+    return found.union(_rest(met, found, sets))

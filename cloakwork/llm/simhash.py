@@ -19,8 +19,9 @@ copies of one text are one fingerprint throughout.
 
 Cases: null or wordless texts have fingerprint zero and are linked like any other; fewer words
 than a shingle make one shingle of all words; a null doc_id keeps its row, and is never the
-smallest id unless all ids of its component are null; repeated rows stay; an empty table gives
-an empty result; other columns are ignored.
+smallest id unless all ids of its component are null; repeated rows stay, and an id that several
+texts have stands in each of their components; texts of any length are read whole, in pieces of
+bounded memory; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot, spread
 
 BITS, SEED = 64, 42
 DISTANCE = 2
@@ -45,21 +46,28 @@ DIRECT = 2048
 
 
 # ---------------------------------------------------------------- fingerprints
-def fingerprint(text: str | None, shingle: int = 3, piece: int = 1 << 16) -> int:
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED, piece: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, repeats included, in pieces; of fewer words, that of them all."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
+    digest, line = xxhash.xxh64_intdigest, b" ".join(words)
     if not words:
-        return 0
+        return
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    line = b" ".join(words)
+        yield np.array([digest(line, seed)], np.uint64)
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = (ends - sizes + 1)[: len(words) - shingle + 1].tolist()
     stops = ends[shingle - 1 :].tolist()
-    digest, total, n = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), len(starts)
-    for at in range(0, n, piece):
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + piece], stops[at : at + piece])], np.uint64)
+    for at in range(0, len(starts), piece):
+        yield np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + piece], stops[at : at + piece])], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3, piece: int = 1 << 16) -> int:
+    total, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle, piece=piece):
         total += _bit_counts(hashes)
+        n += len(hashes)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
@@ -76,13 +84,13 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+    """doc_id, fp (the 64 bits as a long), node (a hash of the text)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    return docs.select("doc_id", F.pandas_udf(run, "long")("text").alias("fp"))
+    return docs.select("doc_id", F.pandas_udf(run, "long")("text").alias("fp"), F.xxhash64("text").alias("node"))
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -244,7 +252,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, parts: int = 4) -> DataFrame
     masks = plan_masks(distance, n, both, pairs_alike(fps, first_groups(n, both, parts)), parts)
     every = (1 << BITS) - 1
     keys = F.array(*(F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)))
-    groups = fps.select("fp", F.explode(keys).alias("k")).groupBy("k.m", "k.v").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("m", "fps")
+    groups = spread(fps.select("fp"), "fp").select("fp", F.explode(keys).alias("k")).groupBy("k.m", "k.v").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("m", "fps")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -289,18 +297,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def classes(docs: DataFrame, distance: int = DISTANCE, shingle: int = 3, parts: int = 4, also: DataFrame | None = None) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that is reached) for every row of docs.
+    """doc_id, fp, node, root (the class), component_id (the smallest doc_id that is reached) for every row of docs.
 
-    also: further links a, b between fingerprints.
+    also: further links a, b between texts, by their nodes (xxhash64 of the text).
     """
     rows = cut(fingerprints(docs, shingle))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     edges = links(fps, distance, parts)
-    roots = components(edges if also is None else edges.union(also.select("a", "b")))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    if also is not None:
+        ends = rows.select("node", "fp").distinct()
+        a, b = (ends.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab")
+        more = also.select("a", "b").join(a, "a").join(b, "b")
+        edges = edges.union(more.select("fa", "fb"))
+    roots = components(edges)
+    rooted = cut(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("fps"))
+    named = join_hot(rooted, least, "root", "fps").select("fp", "n", "root", "component_id")
+    return join_hot(rows, cut(named), "fp", "n").select("doc_id", "fp", "node", "root", "component_id")
 
 
 def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -309,15 +322,22 @@ def report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, also: DataFrame | None = None) -> DataFrame:
-    """docs with one document of each class: the one of smallest id. Rows without an id stay.
+    """docs with one row of each class: of its smallest id, and of that id's texts the one of smallest hash.
 
-    Ids to leave out meet the texts in an anti-join: while they are few, Spark sends them to the
-    texts, and deals both by id when they aren't. Rows that repeat an id are one document.
+    Classes are of rows and not of ids: an id that has texts in several classes stays once in each
+    class whose smallest id it is. Of rows with that id and text, the first by all its columns as JSON
+    stays, so any run keeps the same. Rows without an id stay. Rows to leave out meet the texts in an
+    anti-join: while they are few, Spark sends them to the texts, and deals both by id when they aren't.
     """
-    found = cut(classes(docs, distance, also=also).where("doc_id is not null"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    found = cut(classes(docs, distance, also=also).where("doc_id is not null").select("doc_id", "node", "root"))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("n"))
+    marked = cut(join_hot(found, first, "root", "n").select("doc_id", "node", (F.struct("doc_id", "node") == F.col("first")).alias("stays")))
+    gone = marked.where("not stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    twice = cut(marked.where("stays").groupBy("doc_id", "node").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("node"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))
+    once = rows.join(gone, same, "left_anti")
     if not twice.isEmpty():
-        again = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        docs = docs.join(twice, "doc_id", "left_anti").unionByName(again.select(*docs.columns))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        again = once.join(twice, same, "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        once = once.join(twice, same, "left_anti").select("row").unionByName(again.select("row"))
+    return once.select("row.*")

@@ -58,3 +58,19 @@ def test_stage_leaves_one_of_each_class(spark):
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(set(brute_classes(texts)))
     assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_chains_hold_beyond_the_two_ends_of_a_key(spark, monkeypatch):
+    """Neighbours of a chain are alike, others aren't: whichever texts a key is measured against, none is lost."""
+    monkeypatch.setattr(nearcopies, "PIECE_TEXTS", 2)
+    words = [f"c{i}" for i in range(400)]
+    texts = [" ".join(words[8 * k : 8 * k + 104]) for k in range(14)] + [" ".join(words[320:])] + ["x y"]
+    assert jaccard(texts[0], texts[1]) >= 0.8 > jaccard(texts[0], texts[2]) and jaccard(texts[13], texts[14]) < 0.8
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[3]])], "doc_id long, text string")
+    found = nearcopies.links(docs).collect()
+    node = {r.node: r.doc_id for r in docs.selectExpr("xxhash64(text) as node", "doc_id").orderBy("doc_id", ascending=False).collect()}
+    root = {i: i for i in range(16)}
+    for r in found:
+        a, b = sorted((root[node[r.a]], root[node[r.b]]))
+        root = {i: a if x == b else x for i, x in root.items()}
+    assert [root[i] for i in range(16)] == [0] * 14 + [14, 15]

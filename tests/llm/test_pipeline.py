@@ -8,6 +8,7 @@ from cloakwork.llm import decontaminate, pii, quality, simhash
 from cloakwork.llm.common import table
 
 from .test_decontaminate import brute as brute_hits
+from .test_nearcopies import brute_classes
 from .test_pii import brute as brute_spans
 from .test_simhash import brute_components, brute_fingerprint
 
@@ -31,8 +32,10 @@ def test_stages_by_brute_force(spark, tmp_path):
             assert set(now) == {r.doc_id for r in report.collect() if r.predicted}
         elif name == "near_dedup":
             ids = sorted(seen)
-            roots = brute_components([brute_fingerprint(seen[i]) for i in ids])
-            assert set(now) == {ids[r] for r in roots}
+            # the stage's links: operator 4's, and five-word shingles of Jaccard 0.8 or more
+            assert set(now) == {ids[r] for r in brute_classes([seen[i] for i in ids])}
+            first = brute_components([brute_fingerprint(seen[i]) for i in ids])
+            assert set(now) <= {ids[r] for r in first}
         elif name == "decontamination":
             items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
             assert set(now) == {r[0] for r in brute_hits(list(seen.items()), items) if not r[5]}
@@ -93,7 +96,12 @@ def test_odd_rows_pass_every_stage(spark):
     redacted = kept["pii"](spark, docs, SF)
     assert redacted.columns == docs.columns and sorted(r.text or "" for r in redacted.collect())[3:5] == ["mail [EMAIL]", "twice the same row"]
     assert set(docs.columns) <= set(kept["mixing"](spark, docs, SF).columns)
+    report = {(r.doc_id, r.score): r.predicted for r in quality.report(docs, table(spark, SF, "labels")).collect()}
+    passed = sorted(str(r.doc_id) for r in kept["quality"](spark, docs, SF).collect())
+    assert passed == sorted(str(r.doc_id) for r in quality.report(docs, table(spark, SF, "labels")).where("predicted = 1").collect()) and len(report) >= 6
+    mixed = kept["mixing"](spark, docs, SF)
+    # every cell has its own topic or language: whole documents are kept or left by their draw alone
+    assert {tuple(r) for r in mixed.select("doc_id", "text").collect()} <= {(r[0], r[1]) for r in odd} and mixed.count() in range(1, len(odd))
     for _, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        assert set(docs.columns) <= set(out.columns) and out.count() <= len(odd)
+        assert set(docs.columns) <= set(stage(spark, docs, SF).columns)
         assert stage(spark, docs.limit(0), SF).count() == 0

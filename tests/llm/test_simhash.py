@@ -121,3 +121,21 @@ def test_nulls_repeats_and_empty(spark):
     assert simhash.report(df.limit(0)).count() == 0
     kept = simhash.one_of_each(df.withColumn("count", F.lit(1))).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2]
+
+
+def test_one_row_of_each_class_whatever_the_ids(spark):
+    """Repeated ids over several classes, against a plain loop over classes of rows."""
+    rng = random.Random(8)
+    texts = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdefgh"} | {"z": None}
+    rows = [(5, "a"), (5, "b"), (3, "b"), (7, "a"), (3, "c"), (5, "c"), (9, "c"), (4, "z"), (4, "z"), (4, "d")]
+    rows += [(rng.randint(0, 12), rng.choice("abcdefgh")) for _ in range(60)] + [(None, "e"), (None, "z")]
+    df = spark.createDataFrame([(i, texts[c], f"s{n % 3}") for n, (i, c) in enumerate(rows)], "doc_id long, text string, row string")
+    smallest = {}
+    for i, c in rows:
+        if i is not None:
+            smallest[c] = min(i, smallest.get(c, i))
+    expected = [(i, texts[c]) for c, i in smallest.items()] + [(None, texts["e"]), (None, None)]
+    first = sorted(map(tuple, simhash.one_of_each(df).collect()), key=str)
+    assert sorted(((r[0], r[1]) for r in first), key=str) == sorted(expected, key=str)
+    again = simhash.one_of_each(df.repartition(5, "row")).collect()
+    assert sorted(map(tuple, again), key=str) == first
