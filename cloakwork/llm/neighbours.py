@@ -1,14 +1,19 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
 Every tree splits space by random directions at the median of a bounded sample; the whole table
-is then dealt to the leaves. A query walks all trees through one priority queue, ordered by the
-smallest margin by which a branch was passed over, until the leaves it met hold SEARCH vectors of
-the sample; then the vectors of those leaves are ranked by exact distance.
+is then dealt to the leaves. A query walks all trees through one priority queue, ordered by the sum
+of squares of the margins by which branches were passed over, until the leaves it met hold `budget`
+rows of the whole table; then the vectors of those leaves are ranked by exact distance.
+
+The budget is measured and not guessed: for CHECKED queries, the first by a hash of their ids, the exact
+neighbours are found by one pass over all rows, and the budget is the least at which the share TARGET of
+them is met. On vectors that form clusters it stays as small however many rows there are; on vectors
+without any structure it has to grow with them, as for any index.
 
 Equal vectors are one node with its smallest ids (more than k + 1 of them can't matter), so a
-vector that makes up a third of the table is no larger than any other. Neighbouring leaves of a
-tree are searched together in blocks of about BLOCK_ROWS vectors; a leaf that holds more is dealt
-out in pieces by a hash, its queries to every piece. Each block gives a query at most k + 1
+vector that makes up a third of the table is no larger than any other. Vectors are shuffled once, to
+blocks of at most BLOCK_ROWS: leaves hold ids only, and a query sends to a block the ids that it asks
+for there. A block meets its queries QUERIES at a time. Each block gives a query at most k + 1
 candidates, so what meets at a query is bounded by its leaves.
 
 Cases: null vectors, zero vectors, vectors that hold null or non-finite components, and vectors
@@ -27,13 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread
 
 #: The trees are fitted on at most so many vectors, the first by a hash of their ids.
 SAMPLE = 20_000
-#: Leaves of so many sampled vectors; a query's leaves hold SEARCH of the sample, over all trees.
-TREES, LEAF, SEARCH = 16, 8, 8000
-BLOCK_ROWS = 4000
+#: Leaves of so many sampled vectors.
+TREES, LEAF = 32, 8
+#: The share of exact neighbours that the budget has to meet, and for how many queries it is measured.
+TARGET, CHECKED = 0.95, 100
+#: A block holds at most so many vectors, and meets at most so many queries at once.
+BLOCK_ROWS, QUERIES = 4000, 2048
 
 
 class Forest:
@@ -96,23 +104,48 @@ class Forest:
             out[:, t] = here
         return out
 
-    def search(self, q: np.ndarray, least: int) -> list[int]:
-        """The leaves of all trees nearest to q by margin, until they hold `least` of the sample."""
+    def walk(self, q: np.ndarray) -> Iterator[int]:
+        """The leaves of all trees, nearest to q first."""
         margins = self.dirs @ q - self.cuts
         queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
-        found, held = [], 0
-        while queue and held < least:
-            margin, node = heapq.heappop(queue)
+        while queue:
+            passed, node = heapq.heappop(queue)
             while self.left[node] >= 0:
                 m = margins[node]
                 near, far = (self.left[node], self.right[node]) if m < 0 else (self.right[node], self.left[node])
-                heapq.heappush(queue, (max(margin, abs(m)), int(far)))
+                heapq.heappush(queue, (passed + m * m, int(far)))
                 node = near
-            found.append(int(node))
-            held += self.sizes[node]
+            yield int(node)
+
+    def search(self, q: np.ndarray, rows: np.ndarray, budget: int) -> list[int]:
+        """The leaves nearest to q, until they hold `budget` rows. rows: how many each leaf holds."""
+        found, held = [], 0
+        for leaf in self.walk(q):
+            if rows[leaf]:
+                found.append(leaf)
+                held += rows[leaf]
+                if held >= budget:
+                    break
         return found
 
+    def met_at(self, q: np.ndarray, rows: np.ndarray, wanted: list[list[int]]) -> list[int]:
+        """For each wanted vector, given by its leaves, the budget at which a search for q meets it."""
+        out, held = [0] * len(wanted), 0
+        by_leaf: dict[int, list[int]] = {}
+        for i, leaves in enumerate(wanted):
+            for leaf in leaves:
+                by_leaf.setdefault(leaf, []).append(i)
+        left = len(wanted)
+        for leaf in self.walk(q) if left else ():
+            held += int(rows[leaf])
+            for i in by_leaf.get(leaf, ()):
+                if not out[i]:
+                    out[i], left = held, left - 1
+            if not left:
+                break
+        return out
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v: the vectors that take part."""
@@ -121,7 +154,28 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, search: int = SEARCH, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+def exact(nodes: DataFrame, questions: dict[int, np.ndarray], k: int) -> dict[int, list[int]]:
+    """The k nearest nodes of each question, itself apart, by one pass. A task gives k + 1 rows a question at most."""
+    names, q = list(questions), np.array(list(questions.values()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [np.zeros((0, 2))] * len(names)
+        for b in batches:
+            x, own = np.array(b["v"].tolist(), np.float64), b["node"].to_numpy()
+            for i in range(len(names) if len(own) else 0):
+                d = ((x - q[i]) ** 2).sum(axis=1)
+                few = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
+                both = np.concatenate([best[i], np.stack([d[few], own[few].view(np.float64)], axis=1)])
+                best[i] = both[np.argsort(both[:, 0], kind="stable")[: k + 1]]
+        for name, rows in zip(names, best):
+            yield pd.DataFrame({"q": name, "d": rows[:, 0], "node": np.ascontiguousarray(rows[:, 1]).view(np.int64)})
+
+    found = nodes.select("node", "v").mapInPandas(run, "q long, d double, node long").where("q <> node")
+    top = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "node"))), 1, k).alias("top"))
+    return {r["q"]: [t["node"] for t in r["top"]] for r in top.collect()}  # CHECKED rows
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, sample: int = SAMPLE, target: float = TARGET, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row that is_query(vec_id) picks."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -134,64 +188,66 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, searc
     nodes = _smallest(rows, k + 1)
     nodes = cut(nodes.withColumn("node", F.col("ids")[0]))
     fitted = np.array([r["v"] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").collect()])
-    forest = spark.sparkContext.broadcast(Forest(fitted, trees, max(4, min(LEAF, len(fitted) // 4)), seed))
+    grown = Forest(fitted, trees, max(4, min(LEAF, len(fitted) // 4)), seed)
+    forest = spark.sparkContext.broadcast(grown)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 leaves = forest.value.leaves(np.array(b["v"].tolist(), np.float64))
-                yield pd.DataFrame({"node": b["node"], "leaf": leaves.tolist()})
-
-    dealt = cut(nodes.select("node", "v").mapInPandas(deal, "node long, leaf array<long>"))
-    counts = dealt.select(F.explode("leaf").alias("leaf")).groupBy("leaf").count()
-    block, pieces = _blocks(len(forest.value.left), {r["leaf"]: r["count"] for r in counts.collect()})  # a row per leaf
-    plan = spark.sparkContext.broadcast((block, pieces))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            leaf = np.array(b["leaf"].tolist(), np.int64).reshape(len(b), -1)
-            node = np.repeat(b["node"].to_numpy(), leaf.shape[1])
-            leaf = leaf.ravel()
-            spread = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            yield pd.DataFrame({"block": plan.value[0][leaf], "piece": (spread % plan.value[1][leaf].astype(np.uint64)).astype(np.int32), "leaf": leaf, "node": node})
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for qnode, v in zip(b["qnode"], b["qv"]):
-                leaves = np.array(forest.value.search(np.asarray(v, np.float64), search))
-                blocks = plan.value[0][leaves]
-                order = np.argsort(blocks, kind="stable")
-                firsts = np.nonzero(np.r_[True, np.diff(blocks[order]) != 0])[0]
-                groups = np.split(leaves[order], firsts[1:])
-                yield pd.DataFrame({"block": blocks[order][firsts], "qnode": qnode, "leaves": [g.tolist() for g in groups], "pieces": [int(plan.value[1][g].max()) for g in groups]})
+                yield pd.DataFrame({"node": b["node"], "leaf": leaves.astype(np.int32).tolist()})
+
+    dealt = cut(spread(nodes.select("node", "v"), "node").mapInPandas(deal, "node long, leaf array<int>"))
+    counts = np.zeros(len(grown.left), np.int64)
+    for r in dealt.select(F.explode("leaf").alias("leaf")).groupBy("leaf").count().collect():  # a row per leaf
+        counts[r["leaf"]] = r["count"]
+    # a vector's block follows from its leaf in the first tree
+    home, pieces = _blocks(len(counts), {leaf: int(counts[leaf]) for leaf in _below(grown, grown.roots[0])})
+    block = spark.createDataFrame(pd.DataFrame({"first": np.arange(len(home)), "block": home, "pieces": pieces}), "first int, block long, pieces int")
+    placed = dealt.join(F.broadcast(block), F.col("leaf")[0] == F.col("first"))  # a row per leaf is broadcast
+    placed = placed.select("node", "leaf", "block", F.pmod(F.xxhash64("node"), "pieces").cast("int").alias("piece"))
 
     asked = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
     asked = asked.join(nodes.select(F.col("v").alias("qv"), F.col("node").alias("qnode")), "qv").select("query_id", "qnode", "qv")
+    asked = cut(asked)
     questions = cut(asked.groupBy("qnode").agg(F.first("qv").alias("qv")))
-    routes = questions.mapInPandas(walk, "block long, qnode long, leaves array<long>, pieces int")
-    routes = routes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    routes = routes.join(questions, "qnode").select("block", "piece", "qnode", "leaves", "qv")
-    members = dealt.mapInPandas(place, "block long, piece int, leaf long, node long").join(nodes.select("node", "v"), "node")
+    budget = _budget(grown, counts, dealt, nodes, questions, k, target)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for qnode, v in zip(b["qnode"], b["qv"]):
+                leaves = forest.value.search(np.asarray(v, np.float64), counts, budget)
+                yield pd.DataFrame({"qnode": qnode, "leaf": np.array(leaves, np.int32)})
+
+    routes = spread(questions, "qnode").mapInPandas(route, "qnode long, leaf int")
+    members = placed.select("node", "block", "piece", F.explode("leaf").alias("leaf"))
+    wanted = routes.join(members, "leaf").select("qnode", "block", "piece", "node").distinct()
+    wanted = wanted.groupBy("block", "piece", "qnode").agg(F.collect_list("node").alias("nodes"))  # at most a block
+    wanted = cut(wanted.join(questions, "qnode")).select("block", "piece", "qnode", "nodes", "qv")
+    rounds = cut(wanted.groupBy("block", "piece").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("rounds"))).toDF("block", "piece", "rounds")
+    wanted = wanted.join(rounds, ["block", "piece"]).withColumn("turn", F.pmod(F.xxhash64("qnode"), "rounds").cast("int"))
+    held = placed.select("node", "block", "piece").join(rounds, ["block", "piece"]).join(nodes.select("node", "v"), "node")
+    held = held.select("block", "piece", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("turn"), "node", "v").toDF("block", "piece", "turn", "node", "v")
 
     def rank(key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(m):
-            x, nodes_ = np.array(m["v"].tolist(), np.float64), m["node"].to_numpy()
-            names, own = np.unique(m["leaf"].to_numpy(), return_inverse=True)
-            for qnode, leaves, v in zip(q["qnode"], q["leaves"], q["qv"]):
-                at = np.nonzero(np.isin(names, leaves)[own])[0]
-                at = at[np.unique(nodes_[at], return_index=True)[1]]  # a block may hold leaves of two trees
+            own = m["node"].to_numpy()
+            order = np.argsort(own)
+            own, x = own[order], np.array(m["v"].tolist(), np.float64)[order]
+            for qnode, v, some in zip(q["qnode"], q["qv"], q["nodes"]):
+                at = np.searchsorted(own, np.asarray(some, np.int64))
                 d = np.sqrt(((x[at] - np.asarray(v, np.float64)) ** 2).sum(axis=1))
                 if len(at) > 4 * k:
                     few = np.nonzero(d <= np.partition(d, k)[k])[0]
                     at, d = at[few], d[few]
-                some = np.lexsort((nodes_[at], d))[: k + 1]
-                out.append((np.full(len(some), qnode), nodes_[at[some]], d[some]))
+                best = np.lexsort((own[at], d))[: k + 1]
+                out.append((np.full(len(best), qnode), own[at[best]], d[best]))
         parts = [np.concatenate(p) for p in zip(*out)] if out else [[], [], []]
         return pd.DataFrame(dict(zip(("qnode", "node", "score"), parts)))
 
-    near = routes.groupBy("block", "piece").cogroup(members.groupBy("block", "piece")).applyInPandas(rank, "qnode long, node long, score double")
-    near = near.groupBy("qnode", "node").agg(F.min("score").alias("score"))
+    deal_by = ("block", "piece", "turn")
+    near = wanted.groupBy(*deal_by).cogroup(held.groupBy(*deal_by)).applyInPandas(rank, "qnode long, node long, score double")
     best = near.groupBy("qnode").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "node"))), 1, k + 1).alias("best"))
     best = best.select("qnode", F.explode("best").alias("b")).select("qnode", "b.score", "b.node")
     best = best.join(nodes.select("node", "ids"), "node").select("qnode", "score", F.explode("ids").alias("vec_id"))
@@ -203,18 +259,42 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, searc
     return found.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))
 
 
+def _below(forest: Forest, root: int) -> list[int]:
+    """The leaves of one tree, in order."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if forest.left[node] < 0:
+            found.append(node)
+        else:
+            stack += [int(forest.right[node]), int(forest.left[node])]
+    return found
+
+
+def _budget(forest: Forest, counts: np.ndarray, dealt: DataFrame, nodes: DataFrame, questions: DataFrame, k: int, target: float) -> int:
+    """The rows that a query's leaves have to hold for the target share of neighbours, measured on some queries."""
+    some = {r["qnode"]: np.array(r["qv"], np.float64) for r in questions.orderBy(F.xxhash64("qnode"), "qnode").limit(CHECKED).collect()}
+    if not some:
+        return 0
+    truth = exact(nodes, some, k)
+    known = dealt.where(F.col("node").isin(sorted({n for near in truth.values() for n in near})))  # at most CHECKED * k
+    leaves = {r["node"]: r["leaf"] for r in known.collect()}
+    met = [at for q, near in truth.items() for at in forest.met_at(some[q], counts, [leaves[n] for n in near])]
+    return int(np.quantile(met, target, method="higher")) if met else 0
+
+
 def _blocks(n: int, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For every leaf its block (neighbours together, BLOCK_ROWS vectors at most) and its pieces."""
+    """For every leaf of one tree its block (neighbours together, BLOCK_ROWS vectors at most) and its pieces."""
     block, pieces, held = np.zeros(n, np.int64), np.ones(n, np.int32), 0
     now = 0
-    for leaf in sorted(counts):
-        alone = counts[leaf] > BLOCK_ROWS
-        if held and (alone or held + counts[leaf] > BLOCK_ROWS):
+    for leaf, size in counts.items():
+        alone = size > BLOCK_ROWS
+        if held and (alone or held + size > BLOCK_ROWS):
             now, held = now + 1, 0
         block[leaf] = now
-        held += counts[leaf]
+        held += size
         if alone:
-            pieces[leaf] = -(-counts[leaf] // BLOCK_ROWS)
+            pieces[leaf] = -(-size // BLOCK_ROWS)
             now, held = now + 1, 0
     return block, pieces
 

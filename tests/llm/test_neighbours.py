@@ -50,3 +50,19 @@ def test_equal_vectors_and_small_tables(spark):
     assert neighbours.report(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 1.0]), (7, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in neighbours.report(few).collect()] == [(0, 1, 7, 1.0)]
+
+
+def test_exact_neighbours_and_the_budget_they_need(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 6))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>").repartition(3)
+    found = neighbours.exact(nodes, {i: x[i] for i in (0, 10, 699)}, 5)
+    assert found == {i: [v for v, _ in exact(np.arange(700), x, i, 5)] for i in (0, 10, 699)}
+    forest = neighbours.Forest(x[::2], 6, 8)
+    leaves = forest.leaves(x)
+    counts = np.bincount(leaves.ravel(), minlength=len(forest.left))
+    assert counts.sum() == 6 * 700 and sorted(forest.walk(x[3])) == sorted(np.nonzero(forest.left < 0)[0].tolist())
+    near = found[10]
+    for node, needed in zip(near, forest.met_at(x[10], counts, [leaves[n].tolist() for n in near])):
+        assert set(leaves[node]) & set(forest.search(x[10], counts, needed))
+        assert not set(leaves[node]) & set(forest.search(x[10], counts, needed - 1)[:-1])
