@@ -2,15 +2,22 @@
 
 The page's tags are read into a tree, however badly they nest. Every paragraph-like block passes
 points (for its length and its commas) to its ancestors, halved with each step up; a container's
-points are discounted by the share of its text that stands in links. The best container is kept,
-and those of its siblings that score near it or are running text themselves. What is kept loses
-menus, headers, footers, sidebars, notices, adverts, forms and comments on its way out.
+points are discounted by the share of its text that stands in links. The best container is kept, or
+the article element around it, and those of its siblings that score near it, hold the heading or are
+running text themselves, with bare text between them. All sums go up the tree in one pass, so time is
+linear in the page, however deep it nests.
+
+What is kept loses menus, headers, footers, sidebars, notices, adverts, forms and comments on its way
+out. Elements and roles that mean these go. Class names and ids are evidence only: a name without
+another sense (`cookie-notice`) drops an element that doesn't hold the article or most of the page; one
+with other words in it (`tags-intro`) lowers a score, and drops only what is mostly links or has controls.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by one space; nothing is capped.
 
 Cases: null or empty html gives an empty text; text without any tags is one block; unclosed,
-misnested and cut-off tags are read as far as they go; repeated rows stay; columns besides
+misnested and cut-off tags are read as far as they go; of equal containers the first in the page is
+the best; pages of any length and depth are read whole; repeated rows stay; columns besides
 page_id, url, html are ignored.
 """
 
@@ -34,61 +41,82 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaptio
 CLOSES_P = frozenset("address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+# Words that name what is no part of an article; words that name comments; words that say nothing by
+# themselves; words that name the article.
 UNLIKELY = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus discussion donate "
     "footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion "
-    "related remark recommendations recommended replies reply responses rss share sharing shoutbox sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags tagcloud teaser toolbar topbar tracking widget widgets".split()
+    "related remark recommendations recommended replies reply responses rss share sharing shoutbox sidebar signup skip social sponsor sponsored sponsors subscribe subscription tag tags tagcloud teaser toolbar topbar tracking widget widgets".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus reply replies responses".split())
+NEUTRAL = frozenset("area aside bar block body bottom box btn button buttons col column container footer global group holder icons inner item items left link links list main module outer panel primary right row secondary section site slot top unit user wrap wrapper".split())
+LIKELY = frozenset("article content entry hentry page post story text blog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
-LIKELY = frozenset("article body content entry hentry main page post story text blog".split())
+CONTROLS = frozenset("input button textarea select".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w=-])(hidden)(?![\w=-])")
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+# A quote opens a value only after an equals sign; without one a value goes on to white space or the tag's end.
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>]*+))*+)(?:>|$)", re.S)
+_ATTR = re.compile(r"([^\s/=>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|$)", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "out", "score", "bonus")
-
-    def __init__(self, tag: str, parent: Node | None, out: bool = False, bonus: float = 0.0):
-        self.tag, self.parent, self.items, self.out, self.score, self.bonus = tag, parent, [], out, 0.0, bonus
-
-
-def _words(value: str) -> set[str]:
-    return {w.lower() for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)) if w} | set(re.split(r"[^a-z]+", value.lower()))
-
-
-def _judge(tag: str, attrs: str) -> tuple[bool, float]:
-    """Whether the element is no part of an article, and points for how it is named."""
-    out, bonus = tag in DROPPED, {"article": 25.0, "main": 15.0, "section": 2.0, "div": 0.0}.get(tag, 0.0)
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return out, bonus
+    """An element. size and linked: its characters, and those of them in links; core: whether it holds the
+    page's heading or an article; doubt: 2 if its name says that it is no part of an article, 1 if it hints so."""
+
+    __slots__ = ("tag", "parent", "items", "out", "bonus", "doubt", "link", "size", "linked", "core", "controls", "score")
+
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent, self.items, self.out = tag, parent, [], False
+        self.bonus, self.doubt, self.link, self.score = 0.0, 0, False, 0.0
+        self.size = self.linked = self.controls = 0
+        self.core = False
+
+    def share(self) -> float:
+        """The share of its text that stands in links."""
+        return self.linked / self.size if self.size else 0.0
+
+
+def _doubt(token: str, tag: str) -> int:
+    """What one class name or id says: 2 if it has no other sense, 1 if its words can mean anything else."""
+    words = {w.lower() for w in _WORD.findall(token)}
+    bad = words & (COMMENTS if tag == "article" else UNLIKELY)
+    if words & LIKELY:
+        bad = bad - {"header", "hidden", "form"}
+    if not bad:
+        return 0
+    return 2 if words <= UNLIKELY | NEUTRAL | LIKELY else 1
+
+
+def _judge(node: Node, attrs: str) -> None:
+    """What the element's name and attributes say of it."""
+    tag = node.tag
+    node.out, node.bonus = tag in DROPPED, {"article": 25.0, "main": 15.0, "section": 2.0}.get(tag, 0.0)
+    if not attrs or attrs.isspace():
+        return
+    given: dict[str, str | None] = {}
     for m in _ATTR.finditer(attrs):
-        if m[5]:
-            out |= tag not in ("body", "html")
-            continue
-        name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            words = _words(value)
-            if words & UNLIKELY:
-                out |= not (words & LIKELY and not words & UNLIKELY - {"header", "hidden", "form", "page", "widget", "text"})
-            elif words & LIKELY:
-                bonus += 10.0
-        elif name == "role":
-            out |= value.lower() in ROLES
-        elif name == "style":
-            out |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-        elif name == "aria-hidden":
-            out |= value.lower() == "true"
-        elif name == "hidden":
-            out = True
-    return out, bonus
-
-
-def parse(html: str) -> Node:
-    """The tree of the page. Raw-text elements keep no content; stray end tags are passed over."""
+        given.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), None))  # the first of a name counts
+    node.link = tag == "a" and "href" in given
+    if tag in ("body", "html"):
+        return
+    names = [t for k in ("class", "id") for t in unescape(given.get(k) or "").split()]
+    if tag != "main":
+        node.doubt = max((_doubt(t, tag) for t in names), default=0)
+    if node.doubt:
+        node.bonus -= 10.0
+    elif any(w.lower() in LIKELY for t in names for w in _WORD.findall(t)):
+        node.bonus += 10.0
+    node.out |= "hidden" in given or (given.get("role") or "").lower() in ROLES or (given.get("aria-hidden") or "").lower() == "true"
+    node.out |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style") or "", re.I))
+
+
+def parse(html: str) -> list[Node]:
+    """The page's elements, each after its parent; the first is the root. Raw-text elements keep no content;
+    stray end tags are passed over; only elements that never hold anything end with their own tag."""
     root = Node("#root", None)
+    nodes = [root]
     at, here, open_tags = 0, root, {}
     size = len(html)
     while at < size:
@@ -106,8 +134,6 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not open_tags.get("p"):
-                continue
             if open_tags.get(tag):
                 node = here
                 while node.tag != tag:
@@ -118,11 +144,14 @@ def parse(html: str) -> Node:
             continue
         if tag in CLOSES_P and open_tags.get("p"):
             here = _close(here, {"p"}, {"#root", "table", "td", "th", "button", "object"}, open_tags)
-        if tag in ALIKE:
+        if tag in ALIKE and any(open_tags.get(t) for t in ALIKE[tag]):
             here = _close(here, ALIKE[tag], BOUNDS[tag], open_tags)
-        out, bonus = _judge(tag, m[3])
-        node = Node(tag, here, out or tag == "header" and not _within(here, ("article", "main")), bonus)
+        node = Node(tag, here)
+        _judge(node, m[3])
+        # a header of the page is none of the article's; one inside the article holds its title
+        node.out |= tag == "header" and not open_tags.get("article") and not open_tags.get("main")
         here.items.append(node)
+        nodes.append(node)
         if tag in RAW:
             end = _RAW_END[tag].search(html, at)
             if end is None:
@@ -131,18 +160,10 @@ def parse(html: str) -> Node:
                 continue
             at = html.find(">", end.end())
             at = size if at < 0 else at + 1
-        elif tag not in VOID and not m[0].endswith("/>"):
+        elif tag not in VOID:
             open_tags[tag] = open_tags.get(tag, 0) + 1
             here = node
-    return root
-
-
-def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+    return nodes
 
 
 def _close(here: Node, tags: set[str], bounds: set[str], open_tags: dict[str, int]) -> Node:
@@ -195,72 +216,134 @@ def blocks(node: Node) -> list[tuple[str, Node]]:
     return found
 
 
-def _link_share(node: Node, memo: dict[int, tuple[int, int]]) -> float:
-    """The share of the element's text that stands in links."""
-    todo = [node]
-    while todo:
-        here = todo[-1]
-        open_below = [x for x in here.items if not isinstance(x, str) and not x.out and id(x) not in memo]
-        if open_below:
-            todo.extend(open_below)
+def measure(nodes: list[Node]) -> None:
+    """size, linked, core and controls of every element, from what isn't out. One pass, children first."""
+    for node in nodes:
+        node.size = sum(len(x) for x in node.items if isinstance(x, str) and not x.isspace())
+        node.linked, node.core, node.controls = 0, node.tag in ("article", "main", "h1"), int(node.tag in CONTROLS)
+    for node in reversed(nodes):
+        if node.link:
+            node.linked = node.size
+        up = node.parent
+        if up is not None:
+            up.controls += node.controls  # a dropped form's controls tell of what holds it, too
+            if not node.out:
+                up.size += node.size
+                up.linked += node.linked
+                up.core |= node.core
+
+
+def drop_doubtful(nodes: list[Node]) -> None:
+    """Leaves out what is named as no part of an article, where its structure agrees.
+
+    A name without any other sense stands unless the element holds the article or most of the page's
+    text; one that hints takes links for half of the text, or controls to fill in. A form that holds the
+    article is kept, but for its controls.
+    """
+    measure(nodes)
+    for node in nodes:
+        if node.tag == "form" and node.core:
+            node.out = False
+    measure(nodes)
+    whole = nodes[0].size
+    for node in nodes:
+        if node.doubt == 2:
+            node.out |= not node.core and (2 * node.size <= whole or node.share() >= 0.5 or node.controls > 0 or node.tag == "article")
+        elif node.doubt == 1:
+            node.out |= not node.core and (node.share() >= 0.5 or node.controls > 0)
+    measure(nodes)
+
+
+def weigh(nodes: list[Node], found: list[tuple[str, Node]]) -> None:
+    """score of every element: points of the text blocks below it, halved with each step up, and its bonus.
+
+    One pass, children first: what an element hands on is half of what it has, whatever it holds.
+    """
+    for node in nodes:
+        node.score = 0.0
+    for text, owner in found:
+        if len(text) >= 25 or owner.tag in PARAGRAPHS:
+            points = 1.0 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
+            to = owner.parent if owner.tag in PARAGRAPHS and owner.parent is not None else owner
+            to.score += points
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.score += node.score / 2
+        if node.score:
+            node.score += node.bonus
+
+
+def _units(parent: Node) -> list[list]:
+    """The children of an element: a block each, or a run of bare text and inline elements."""
+    units: list[list] = []
+    for x in parent.items:
+        inline = isinstance(x, str) or x.tag in INLINE
+        if not inline and x.out:
             continue
-        todo.pop()
-        total = linked = 0
-        for x in here.items:
-            if isinstance(x, str):
-                total += len(x) if not x.isspace() else 0
-            elif not x.out:
-                total += memo[id(x)][0]
-                linked += memo[id(x)][1]
-        memo[id(here)] = (total, total if here.tag == "a" else linked)
-    total, linked = memo[id(node)]
-    return linked / total if total else 0.0
+        if inline and units and units[-1][0] is None:
+            units[-1][1].append(x)
+        else:
+            units.append([None, [x]] if inline else [x, [x]])
+    return units
+
+
+def _texts(items: list) -> list[str]:
+    """The text blocks of some items of one element."""
+    holder = Node("#some", None)
+    holder.items = items
+    return [t for t, _ in blocks(holder)]
+
+
+def _beside(unit: list, top: float) -> bool:
+    """Whether a sibling of the best container belongs to the article."""
+    node, items = unit
+    size = sum(len(x) if isinstance(x, str) and not x.isspace() else 0 if isinstance(x, str) or x.out else x.size for x in items)
+    linked = sum(0 if isinstance(x, str) or x.out else x.linked for x in items)
+    if not size:
+        return False
+    if node is not None and node.score * (1 - node.share()) >= max(10.0, 0.2 * top):
+        return True
+    if linked >= 0.25 * size or node is not None and node.doubt:
+        return False
+    if node is not None and (node.core or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
+        return linked == 0
+    text = " ".join(_texts(items))
+    return len(text) > 80 or linked == 0 and re.search(r"[.!?…。！？][\"'”’»)]*( |$)", text) is not None
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    root = parse(html)
-    found = blocks(root)
+    nodes = parse(html)
+    drop_doubtful(nodes)
+    found = blocks(nodes[0])
     if not found:
         return ""
-    scored: dict[int, Node] = {}
-    for text, owner in found:
-        if len(text) < 25 and owner.tag not in PARAGRAPHS:
-            continue
-        points = 1.0 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
-        node, share = (owner.parent if owner.tag in PARAGRAPHS else owner), 1.0
-        while node is not None:
-            if id(node) not in scored:
-                scored[id(node)] = node
-                node.score += node.bonus
-            node.score += points * share
-            share /= 2
-            node = node.parent
-    memo: dict[int, tuple[int, int]] = {}
-    best, top = root, float("-inf")
-    for node in scored.values():
-        worth = node.score * (1 - _link_share(node, memo))
-        if worth > top:
+    weigh(nodes, found)
+    best, top = nodes[0], float("-inf")
+    gone: set[int] = set()
+    for node in nodes:  # the first of equals
+        if node.out or node.parent is not None and id(node.parent) in gone:
+            gone.add(id(node))
+        elif node.score and (worth := node.score * (1 - node.share())) > top:
             best, top = node, worth
     if best.tag in PARAGRAPHS and best.parent is not None:
         best = best.parent
-    kept = [best]
-    if best.parent is not None and best.tag not in ("article", "main", "body"):
-        kept = []
-        for x in best.parent.items:
-            if isinstance(x, str) or x.out:
-                continue
-            near = x is best or id(x) in scored and x.score * (1 - _link_share(x, memo)) >= max(10.0, 0.2 * top)
-            if not near and x.tag in PARAGRAPHS:
-                text = " ".join(t for t, _ in blocks(x))
-                share = _link_share(x, memo)
-                near = len(text) > 80 and share < 0.25 or 0 < len(text) and share == 0 and re.search(r"[.!?]( |$)", text) is not None or x.tag[0] == "h" and bool(text) and share == 0
-            if near:
-                kept.append(x)
-    elif best.tag == "article" and best.parent is not None:
-        kept = [x for x in best.parent.items if x is best or not isinstance(x, str) and x.tag == "article" and not x.out and x.score * (1 - _link_share(x, memo)) >= max(30.0, 0.5 * top)]
-    return " ".join(t for x in kept for t, _ in blocks(x))
+    node = best
+    while node is not None and node.tag != "article":
+        node = node.parent
+    best = node or best  # the whole of the article that holds the best container
+    if best.parent is None or best.tag in ("main", "body"):
+        return " ".join(t for t, _ in blocks(best))
+    if best.tag == "article":
+        kept = [[x, [x]] for x in best.parent.items if x is best or not isinstance(x, str) and x.tag == "article" and not x.out and x.score * (1 - x.share()) >= max(30.0, 0.5 * top)]
+    else:
+        units = _units(best.parent)
+        near = [unit[0] is best or _beside(unit, top) for unit in units]
+        first, last = near.index(True), len(near) - 1 - near[::-1].index(True)
+        # bare text between parts of the article is the article's too
+        kept = [u for i, u in enumerate(units) if near[i] or u[0] is None and first < i < last]
+    return " ".join(t for _, items in kept for t in _texts(items))
 
 
 def extract(pages: DataFrame) -> DataFrame:
