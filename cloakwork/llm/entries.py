@@ -70,13 +70,7 @@ _COUNTS = rf"""[
     {{'tokenizer': 'words-1', 'n_tokens': len(regexp_extract_all(TEXT, '[^\x20\x09-\x0D]+')), 'n_chars': length(TEXT)}}]"""
 
 
-def _bigrams(text: str) -> str:
-    """The distinct word bigrams of a text, in DuckDB."""
-    words = rf"string_split(trim(regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), ' ')"
-    return f"list_distinct(list_transform(range(1, len({words})), lambda i: ({words})[i] || ' ' || ({words})[i + 1]))"
-
-
-_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items()))
+_TEMPLATES = ", ".join(f"({t}, '{name}', '{' '.join(licenses.words_of(text))}')" for t, (name, text) in enumerate(licenses.templates_of()))
 
 ORACLES = {
     "op9_decontamination": rf"""
@@ -107,22 +101,31 @@ counts AS (SELECT source, lang, unnest({_COUNTS.replace("TEXT", "t")}) AS c FROM
 SELECT source, lang, c.tokenizer AS tokenizer, CAST(count(*) AS BIGINT) AS n_docs,
   CAST(sum(c.n_tokens) AS BIGINT) AS n_tokens, CAST(sum(c.n_chars) AS BIGINT) AS n_chars
 FROM counts GROUP BY ALL""",
-    "op8_licenses": f"""
-WITH tpl AS (SELECT name, {_bigrams("txt")} AS grams FROM (VALUES {_TEMPLATES}) AS v(name, txt)),
-docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-units AS (
-  SELECT r, i, i <= len(ls) AS line, CASE WHEN i <= len(ls) THEN ls[i] ELSE t END AS u
-  FROM docs, unnest(range(1, len(ls) + CASE WHEN len(ls) > 1 THEN 2 ELSE 1 END)) AS x(i)),
-grams AS (SELECT r, i, line, {_bigrams("u")} AS g FROM units),
-near AS (
-  SELECT r, i, line, name, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
-  FROM grams JOIN tpl ON len(g) BETWEEN len(grams) / 1.5 - 1e-9 AND len(grams) * 1.5 + 1e-9),
-best AS (SELECT r, i, line, dice, name FROM near WHERE dice >= 0.8 - 1e-12
-  QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY dice DESC, name) = 1),
+    "op8_licenses": rf"""
+WITH tpl AS (SELECT t, name, string_split(ws, ' ') AS w FROM (VALUES {_TEMPLATES}) AS v(t, name, ws)),
+tg AS (SELECT DISTINCT t, w[i] || ' ' || w[i + 1] AS gram FROM tpl, unnest(range(1, len(w))) AS u(i)),
+sizes AS (SELECT t, count(*) AS m FROM tg GROUP BY t),
+known AS (SELECT t, name, len(w) AS words, m, ceil({licenses.LEAST} / (2 - {licenses.LEAST}) * m - 1e-9) AS need FROM tpl JOIN sizes USING (t)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+pos AS (SELECT r, i, w[i] || ' ' || w[i + 1] AS gram FROM docs, unnest(range(1, len(w))) AS u(i)),
+hits AS (SELECT r, t, i, gram FROM pos JOIN tg USING (gram)),
+cand AS (SELECT r, t FROM hits JOIN known USING (t) GROUP BY r, t HAVING count(DISTINCT gram) >= any_value(need)),
+starts AS (SELECT r, t, i AS s, words, m, name FROM hits SEMI JOIN cand USING (r, t) JOIN known USING (t)),
+wins AS (
+  SELECT r, t, s, any_value(name) AS name, any_value(words) AS words, any_value(m) AS m, count(DISTINCT p.gram) AS n,
+    count(DISTINCT p.gram) FILTER (tg.gram IS NOT NULL) AS shared
+  FROM starts JOIN pos p USING (r) LEFT JOIN tg USING (t, gram) WHERE p.i BETWEEN s AND s + words - 2 GROUP BY r, t, s),
+best AS (
+  SELECT *, 2.0 * shared / (n + m) AS dice FROM wins WHERE 2.0 * shared / (n + m) >= {licenses.LEAST} - 1e-12
+  QUALIFY row_number() OVER (PARTITION BY r, t ORDER BY shared DESC, dice DESC, s) = 1),
+stand AS (
+  SELECT * FROM best x WHERE NOT EXISTS (
+    SELECT 1 FROM best y WHERE y.r = x.r AND y.name <> x.name AND y.s < x.s + x.words AND x.s < y.s + y.words
+      AND (y.shared > x.shared OR y.shared = x.shared AND (y.dice > x.dice OR y.dice = x.dice AND y.name < x.name)))),
 each AS (
-  SELECT r, count(*) FILTER (line) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names,
-    arg_min(name, struct_pack(d := -dice, n := name)) AS best_license, max(dice) AS best_dice FROM best GROUP BY r)
-SELECT doc_id, CAST(len(list_filter(ls, lambda x: trim(x) <> '')) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines,
-  coalesce(names, '') AS licenses, best_license, CAST(best_dice AS DOUBLE) AS best_dice
-FROM docs LEFT JOIN each USING (r)""",
+  SELECT r, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM stand GROUP BY r),
+tops AS (SELECT r, name, dice, s FROM stand QUALIFY row_number() OVER (PARTITION BY r ORDER BY shared DESC, dice DESC, name, s) = 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS licenses, name AS best_license,
+  CAST(dice AS DOUBLE) AS best_dice, CAST(s - 1 AS BIGINT) AS best_at
+FROM docs LEFT JOIN each USING (r) LEFT JOIN tops USING (r)""",
 }
