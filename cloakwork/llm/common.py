@@ -74,6 +74,11 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
     return some.unionByName(rest.join(keyed, key).select(*some.columns))
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A checkpointed table of a few short columns, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is set, on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""

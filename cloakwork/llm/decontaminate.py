@@ -1,13 +1,17 @@
 """Benchmark decontamination: find documents that hold passages of benchmark items.
 
-A hash set of the normalised test n-grams is broadcast to every task, each document's token
-windows are scanned against it, and a hash hit counts only if the window's text is in the set
-too. Everything is DataFrame functions; a document's row never leaves its task for the scan.
+The hashes of the normalised test n-grams are broadcast, at most BLOCK of them at once (a larger set goes in
+several blocks, each with its own scan), and every window of the documents meets them in a hash join inside
+the scan: windows are never shuffled, and only those that hit go on. A hash hit counts only if the window's
+text is in the set too. Everything is DataFrame functions.
+
+Rows are told apart by their id and a hash of their text, so that a partition that is made again after an
+executor is lost gives the same rows; clean documents take no part in anything after the scan.
 
 Cases: a null or wordless text has no words and no hits; an item without words takes no part;
 items shorter than a window are one window of their own length; repeated rows each get their
-own result; empty tables give empty (documents) or all-clean (benchmark) results; columns
-besides doc_id, text / item_id, text are ignored, whatever their names.
+own result; texts of any length are read whole; empty tables give empty (documents) or all-clean
+(benchmark) results; columns besides doc_id, text / item_id, text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +21,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import cut, join_hot, lower_ascii, small
 
 WINDOW = 10
-#: Up to this many distinct windows the set rides along in the tasks' plan (about 2 MB);
-#: beyond it the windows are joined by their hash instead.
-INLINE_WINDOWS = 20_000
+#: So many hashes are broadcast at once (a hash table of about 100 MB).
+BLOCK = 4_000_000
+#: The windows' texts are broadcast up to so many (about 20 MB); beyond, they are joined.
+TEXTS = 100_000
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -67,15 +72,10 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _window_hashes(windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """n, gram, h: each window with the hash that with_hashes gives the same words."""
-    grams = windows.select("n", "gram").distinct().withColumn("w", F.split("gram", " ", -1))
-    hashed = with_hashes(grams, lengths)
+    """windows (n, gram, items) with h: the hash that with_hashes gives the same words."""
+    hashed = with_hashes(windows.withColumn("w", F.split("gram", " ", -1)), lengths)
     pick = reduce(lambda rest, n: F.when(F.col("n") == n, F.col(f"g{n}")[0]).otherwise(rest), lengths, F.lit(None).cast("long"))
-    return hashed.select("n", "gram", pick.alias("h"))
-
-
-def _text(at: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.col("w"), at + 1, n), " ")
+    return hashed.select("n", "gram", "items", pick.alias("h"))
 
 
 def _covered(spans: Column) -> Column:
@@ -90,88 +90,88 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline: int = INLINE_WINDOWS) -> DataFrame:
-    """docs with n_words, n_hit (long) and spans: array of (at, n, gram), by position.
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """doc_id, key (a hash of the text), at, n, items: every window of n words, from word at, that is in the set.
 
-    docs has doc_id, text and, at most, row: callers pack other columns into that.
+    items: the ids, as strings, of the items that hold the window. Written to the shared folder.
     """
-    windows = windows_of(benchmark, window)
+    spark = docs.sparkSession
+    windows = windows_of(benchmark, window).groupBy("n", "gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most `window` rows
-    keep = list(docs.columns)
-    docs = docs.select(*keep, words_of(F.col("text")).alias("w"))
-    n_words = F.size("w").cast("long").alias("n_words")
-    nothing = F.expr("cast(array() as array<struct<at:int,n:int,gram:string>>)")
     if not lengths:
-        return docs.select(*keep, n_words, F.lit(0).cast("long").alias("n_hit"), nothing.alias("spans"))
-    hashed = _window_hashes(windows, lengths)
-    known = hashed.limit(inline + 1).collect()
-    docs = with_hashes(docs, lengths)
-    if len(known) <= inline:
-        found = [_spans_of(n, [r for r in known if r["n"] == n], nothing) for n in lengths]
-        docs = docs.withColumn("spans", F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"doc_id {kind}, key long, at int, n int, items array<string>")
+    windows = cut(_window_hashes(windows, lengths))
+    rounds = max(1, -(-windows.count() // block))
+    found = cut(_met(docs, windows.select(F.col("h").alias("_h")).distinct(), lengths, rounds))
+    known = windows.select(F.struct("n", "h", "gram").alias("x"), "items")
+    rows = found.select("doc_id", "key", "at", F.struct("n", "h", "gram").alias("x"))
+    if rounds == 1 and windows.count() <= TEXTS:
+        sure = rows.join(F.broadcast(known), "x")
     else:
-        docs = _hits_by_join(docs, hashed, lengths, nothing)
-    return docs.select(*keep, n_words, _covered(F.col("spans")).alias("n_hit"), "spans")
+        counts = rows.groupBy("x").agg(F.count("*").alias("many"))
+        sure = join_hot(rows, cut(known.join(counts, "x")), "x", "many")
+    return cut(sure.select("doc_id", "key", "at", F.col("x.n").alias("n"), "items"))
 
 
-def _spans_of(n: int, known: list, nothing: Column) -> Column:
-    """The windows of n words that are in the set: a hash must be in it, and then the text."""
-    g, hashes, grams = F.col(f"g{n}"), list({r["h"] for r in known}), [r["gram"] for r in known]
-    places = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: g[i].isin(hashes) & _text(i, n).isin(grams))
-    spans = F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), _text(i, n).alias("gram")))
-    return F.when(F.exists(g, lambda h: h.isin(hashes)), spans).otherwise(nothing)
+def _met(docs: DataFrame, hashes: DataFrame, lengths: list[int], rounds: int) -> DataFrame:
+    """doc_id, key, at, n, h, gram: the windows of docs whose hash is among hashes (_h)."""
+    words = with_hashes(docs.select("doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("w")), lengths)
+    # runs of all lengths in one list; a place in the list says which run it is
+    every = F.concat(*(F.col(f"g{n}") for n in lengths))
+    places = words.select("doc_id", "key", "w", F.posexplode(every).alias("p", "h"))
+    blocks = [hashes.where(F.pmod("_h", F.lit(rounds)) == r) for r in range(rounds)] if rounds > 1 else [hashes]
+    found = reduce(DataFrame.union, [places.join(F.broadcast(b), places["h"] == F.col("_h"), "left_semi") for b in blocks])
+    at, n, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
+    for length in lengths:
+        own = F.greatest(F.size("w") - length + 1, F.lit(0))
+        inside = F.col("p").between(before, before + own - 1)
+        at, n = F.when(inside, F.col("p") - before).otherwise(at), F.when(inside, F.lit(length)).otherwise(n)
+        before = before + own
+    found = found.select("doc_id", "key", "h", at.alias("at"), n.alias("n"), "w")
+    return found.select("doc_id", "key", "at", "n", "h", F.expr("array_join(slice(w, at + 1, n), ' ')").alias("gram"))
 
 
-def _places(n: int) -> Column:
-    return F.transform(F.col(f"g{n}"), lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("n"), h.alias("h")))
+def _spans(found: DataFrame) -> DataFrame:
+    """_id, _key, n_hit, spans, items of every row that hits."""
+    one = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"), F.collect_set("items").alias("items"))
+    items = F.array_sort(F.array_distinct(F.flatten("items")))
+    return one.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), _covered(F.col("spans")).alias("n_hit"), "spans", items.alias("items"))
 
 
-def _hits_by_join(docs: DataFrame, hashed: DataFrame, lengths: list[int], nothing: Column) -> DataFrame:
-    """The same spans for a benchmark that is too large to ride in the plan.
-
-    Windows are dealt by hash and text, so a frequent window is only as heavy as its own rows,
-    and adaptive execution splits those; spans come back by id and hash of the text.
-    """
-    docs = docs.withColumn("_k", F.xxhash64("w"))
-    every = F.concat(*map(_places, lengths))
-    rows = docs.select("doc_id", "_k", "w", F.explode_outer(every).alias("x")).where("x is not null").select("doc_id", "_k", "x.at", "x.n", "x.h", F.expr("array_join(slice(w, x.at + 1, x.n), ' ')").alias("gram"))
-    found = rows.join(hashed, ["n", "h", "gram"], "left_semi")
-    spans = found.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_set(F.struct("at", "n", "gram"))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("_k").alias("_k2"), "spans")
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (docs["_k"] == spans["_k2"]), "left")
-    return joined.withColumn("spans", F.coalesce("spans", nothing)).drop("_id", "_k", "_k2")
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline: int = INLINE_WINDOWS) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = hits(docs.select("doc_id", "text"), benchmark, window, inline)
-    rows = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "n_hit", F.array_distinct(F.transform("spans", lambda s: s["gram"])).alias("grams"))
-    items = windows_of(benchmark, window).select("gram", F.col("item_id").cast("string").alias("item"))
-    joined = rows.withColumn("gram", F.explode_outer("grams")).drop("grams").join(items, "gram", "left")
-    each = joined.groupBy("row", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return each.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    docs = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    joined = rows.join(_spans(hits(docs, benchmark, window, block)), _same(), "left")
+    zero = F.lit(0).cast("long")
+    return joined.select(
+        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce(F.size("items").cast("long"), zero).alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline: int = INLINE_WINDOWS) -> DataFrame:
-    """docs without the documents that hold a benchmark window. No row is moved."""
-    found = hits(_packed(docs), benchmark, window, inline).select("row", "n_hit", F.monotonically_increasing_id().alias("mark"))
-    # the mark keeps the filter above the projections: pushed below, it would be written out in
-    # terms of the words, with every step of the hashes repeated at each of its uses
-    return found.where((F.col("n_hit") == 0) & (F.col("mark") >= 0)).select("row.*")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """docs without the documents that hold a benchmark window. No text is moved while few ids have to go."""
+    found = hits(docs.select("doc_id", "text"), benchmark, window, block)
+    gone = small(cut(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()))
+    return _packed(docs).join(gone, _same(), "left_anti").select("row.*")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
     """The row rides along whole, so that no name of its columns can clash."""
-    return docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("key"))
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, inline: int = INLINE_WINDOWS) -> DataFrame:
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Every document; the words of benchmark windows are taken out of the text of those that hold
     some, which is then the remaining normalised words, joined by one space."""
-    found = hits(_packed(docs), benchmark, window, inline)
+    spans = _spans(hits(docs.select("doc_id", "text"), benchmark, window, block))
+    found = _packed(docs).join(spans.select("_id", "_key", "spans"), _same(), "left")
     rest = F.filter(words_of(F.col("text")), lambda _, i: ~F.exists("spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["n"])))
-    text = F.when(F.col("n_hit") == 0, F.col("text")).otherwise(F.array_join(rest, " "))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(rest, " "))
     return found.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

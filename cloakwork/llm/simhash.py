@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, spread
+from .common import cut, join_hot, small, spread
 
 BITS, SEED = 64, 42
 DISTANCE = 2
@@ -327,12 +327,12 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, also: DataFrame | Non
     Classes are of rows and not of ids: an id that has texts in several classes stays once in each
     class whose smallest id it is. Of rows with that id and text, the first by all its columns as JSON
     stays, so any run keeps the same. Rows without an id stay. Rows to leave out meet the texts in an
-    anti-join: while they are few, Spark sends them to the texts, and deals both by id when they aren't.
+    anti-join: while they are few, they are sent to the texts, and both are dealt by id when they aren't.
     """
     found = cut(classes(docs, distance, also=also).where("doc_id is not null").select("doc_id", "node", "root"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("n"))
     marked = cut(join_hot(found, first, "root", "n").select("doc_id", "node", (F.struct("doc_id", "node") == F.col("first")).alias("stays")))
-    gone = marked.where("not stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    gone = small(cut(marked.where("not stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()))
     twice = cut(marked.where("stays").groupBy("doc_id", "node").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("node"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))

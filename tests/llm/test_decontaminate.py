@@ -49,12 +49,12 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("inline", [decontaminate.INLINE_WINDOWS, 3])
-def test_report_matches_brute_force(spark, inline):
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 50])
+def test_report_matches_brute_force(spark, block):
     docs, items = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((tuple(r) for r in decontaminate.report(d, b, inline=inline).collect()), key=str)
+    got = sorted((tuple(r) for r in decontaminate.report(d, b, block=block).collect()), key=str)
     assert got == brute(docs, items)
 
 
@@ -77,3 +77,14 @@ def test_clean_and_spans(spark):
     assert cut == {1: "a", 2: "nothing of that", 3: None}
     none = b.limit(0)
     assert decontaminate.clean(d, none).count() == 3 and decontaminate.report(d.limit(0), b).count() == 0
+
+
+def test_a_million_windows_are_broadcast_and_nothing_else_is_shuffled(spark):
+    words = [f"w{i * 7919 % 1_000_003}" for i in range(1_000_009)]
+    items = [(1, " ".join(words[:500_000])), (2, " ".join(words[499_991:])), (3, "short one")]
+    docs = [(i, " ".join(["x", *words[99_000 * i : 99_000 * i + 12], "y"])) for i in range(10)] + [(20, "a Short, one"), (21, " ".join(words[5:14])), (22, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.report(d, b).collect()}
+    assert got == {i: (12, 1) for i in range(10)} | {20: (2, 1), 21: (0, 0), 22: (0, 0)}
+    plan = decontaminate._met(d, spark.range(10).withColumnRenamed("id", "_h"), [10], 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
