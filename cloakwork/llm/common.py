@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +93,23 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of any store that Spark writes to."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Steps:
+    """The tables of an iteration: each is written to the shared folder, and the one before it deleted.
+
+    Unlike a checkpoint, a table that is read back has its true size. A checkpoint keeps the estimate of
+    its plan, and where every step joins the last with itself, that estimate's digits double with each
+    step, until planning alone takes for ever.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        folder = f"{shared_folder(self.spark)}/step-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        if self.folder:
+            remove(self.spark, self.folder)
+        self.folder = folder
+        return self.spark.read.schema(df.schema).parquet(folder)

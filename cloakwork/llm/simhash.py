@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, small, spread
+from .common import Steps, cut, join_hot, small, spread
 
 BITS, SEED = 64, 42
 DISTANCE = 2
@@ -283,10 +283,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = out.union(low.select(F.col("k").alias("u"), F.col("low").alias("v")))
         return out.where("u > v").distinct()
 
-    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    step = Steps(edges.sparkSession)
+    pairs = step(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     before = None
     for _ in range(rounds):
-        pairs = cut(star(star(pairs, True), False))
+        pairs = step(star(star(pairs, True), False))
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
