@@ -1,8 +1,8 @@
 """Near copies by word shingles: pairs of texts whose sets of five-word shingles have a Jaccard of 0.8 or more.
 
 Words are those of operator 4 (ASCII capitals lowered, split at ASCII white space). MinHash in BANDS bands
-of ROWS finds candidates: a pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8**6)**60, about
-1e-8, and closer pairs with less. Candidates of a band's key are verified from the sets themselves, in two
+of ROWS finds candidates: a pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8**5)**40, about
+1e-7, and closer pairs with less. Candidates of a band's key are verified from the sets themselves, in two
 steps. First all texts of a key against two of them (its smallest and its largest node): that is linear, and
 as a rule unites a group of copies, however large. Then, of keys whose texts still stand in several
 components, all texts with each other, in pieces of at most PIECE_TEXTS texts and PIECE_HASHES hashes, two
@@ -30,7 +30,7 @@ from .simhash import _roots, components, shingle_hashes
 SHINGLE = 5
 #: The least Jaccard as a fraction of whole numbers: compared without rounding.
 LEAST = (4, 5)
-BANDS, ROWS = 60, 6
+BANDS, ROWS = 40, 5
 PIECE_TEXTS, PIECE_HASHES = 256, 1 << 20
 #: A set that stands for a hot key is broadcast only up to so many hashes (HOT_KEYS of them: 80 MB).
 HOT_HASHES = 50_000
@@ -83,15 +83,14 @@ def _close(shared: Column, n: Column, m: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """node (xxhash64 of the text), n (its shingles), keys (of its bands): a row a distinct text."""
+    """node (xxhash64 of the text), keys (of its bands): a row a distinct text with words."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            sets = [shingles(t) for t in texts]
-            yield pd.DataFrame({"n": [len(s) for s in sets], "keys": [bands(s) for s in sets]})
+            yield pd.Series([bands(shingles(t)) for t in texts])
 
-    found = docs.select(F.xxhash64("text").alias("node"), F.pandas_udf(run, "struct<n:long,keys:array<long>>")("text").alias("x"))
-    return found.where("x.n > 0").groupBy("node").agg(F.first("x").alias("x")).select("node", "x.n", "x.keys")
+    found = docs.select(F.xxhash64("text").alias("node"), F.pandas_udf(run, "array<long>")("text").alias("keys"))
+    return found.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -107,6 +106,10 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs a, b (many with the same a) that are alike."""
+    # sizes first: sets that differ too much in size can't be alike, and aren't moved
+    size = {c: sets.select(F.col("node").alias(c), F.col("n").alias(f"m{c}")) for c in "ab"}
+    sized = pairs.join(size["a"], "a").join(size["b"], "b")
+    pairs = cut(sized.where(_close(F.least("ma", "mb"), F.col("ma"), F.col("mb"))).select("a", "b"))
     other = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
     counts = pairs.groupBy("a").agg(F.count("*").alias("many"))
     first = sets.join(counts, F.col("node") == F.col("a")).select("a", F.col("s").alias("sa"), F.col("n").alias("na"), F.when(F.col("n") <= HOT_HASHES, F.col("many")).otherwise(0).alias("many"))
@@ -145,13 +148,10 @@ def _rest(met: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> DataFrame:
     """a, b: texts that are alike, by their nodes (xxhash64 of the text); all others follow over these."""
     rows = cut(keyed(docs))
-    each = spread(rows).select("node", "n", F.explode("keys").alias("key"))
-    me = F.struct("node", "n")
-    ends = cut(each.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.count("*").alias("many")).where("many > 1"))
-    met = cut(join_hot(each, ends, "key", "many").select("key", "node", "n", "low", "high"))
+    each = spread(rows).select("node", F.explode("keys").alias("key"))
+    ends = cut(each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("many > 1"))
+    met = cut(join_hot(each, ends, "key", "many").select("key", "node", "low", "high"))
+    pairs = met.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     sets = cut(sets_of(docs, met.select("node").distinct()))
-    stars = [met.select(F.col(f"{c}.node").alias("a"), F.col("node").alias("b"), F.col(f"{c}.n").alias("na"), "n") for c in ("low", "high")]
-    pairs = stars[0].union(stars[1]).where("a <> b").where(_close(F.least("na", "n"), F.col("na"), F.col("n")))
-    pairs = cut(pairs.select("a", "b").distinct())
     found = cut(_verified(pairs, sets))
     return found.union(_rest(met, found, sets))
