@@ -53,17 +53,33 @@ def mark(label: str) -> str:
 Rule = Callable[[str, str, list], str]
 
 
+def matches_of(find: re.Pattern, run: str | None) -> Callable[[str], Iterator[re.Match]]:
+    """All matches of a pattern; run: the signs that it begins with, whose first place alone is tried."""
+    if run is None:
+        return find.finditer
+    first = re.compile(f"(?<!{run}){find.pattern}")
+
+    def each(text: str) -> Iterator[re.Match]:
+        m = first.search(text)
+        while m:
+            yield m
+            m = find.match(text, m.end()) or first.search(text, m.end())
+
+    return each
+
+
 def _plain(label: str, pattern: str) -> Rule:
-    find, put, needs = P.python(pattern), mark(label), P.NEEDS.get(label)
+    find, put, needs = matches_of(P.python(pattern), P.RUNS.get(label)), mark(label), P.NEEDS.get(label)
 
     def run(text: str, phase: str, hits: list) -> str:
         if needs and not any(n in text for n in needs):
             return text
-        found = [m[0] for m in find.finditer(text)]
-        if not found:
-            return text
-        hits += [(phase, label, value, put, 1) for value in found]
-        return find.sub(lambda _: put, text)
+        out, at = [], 0
+        for m in find(text):
+            out += [text[at : m.start()], put]
+            hits.append((phase, label, m[0], put, 1))
+            at = m.end()
+        return "".join(out) + text[at:] if out else text
 
     return run
 

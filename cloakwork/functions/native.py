@@ -23,14 +23,16 @@ def mark(label: str) -> str:
 
 def pattern(label: str) -> str:
     """The Java pattern of a rule of the first two phases. CARD is the second phase's."""
-    return P.java(_PHASE1.get(label) or _PHASE2[label])
+    return P.java(_PHASE1.get(label) or _PHASE2[label], P.RUNS.get(label))
 
 
-def _guarded(text: Column, label: str, work, otherwise) -> Column:
-    """work(text) where the rule can match at all.
+def bound(text: Column, work) -> Column:
+    """work(text), with the text bound to a name: a chain of rules grows by each rule's own size only."""
+    return F.transform(F.array(text), work)[0]
 
-    The text is bound to a name, so that a chain of rules grows by each rule's own size only.
-    """
+
+def _guarded(text: Column, label: str, work, otherwise) -> Column:
+    """work(text) where the rule can match at all."""
     needs = P.NEEDS.get(label)
     if not needs:
         return work(text)
@@ -41,7 +43,7 @@ def _guarded(text: Column, label: str, work, otherwise) -> Column:
             can |= x.contains(other)
         return F.when(can, work(x)).otherwise(otherwise(x))
 
-    return F.transform(F.array(text), run)[0]
+    return bound(text, run)
 
 
 def replace(text: Column, label: str) -> Column:
@@ -129,6 +131,45 @@ def outside_fences(text: Column, rule) -> Column:
     return F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 0, rule(x)).otherwise(x)), P.FENCE)
 
 
+def phase3(text: Column) -> Column:
+    """The context and keyword rules, outside code fences; texts without any of their words are passed."""
+    def of_context(label: str, bearer: bool = False):
+        return lambda x: context(x, label, bearer)
+
+    def of_keyword(word: str):
+        return lambda x: F.when(x.contains(word), keyword(x, word)).otherwise(x)
+
+    rules = [*map(of_context, _CONTEXT), of_context("TOKEN", True), *(of_keyword(word) for word, _, _ in P.KEYWORDS)]
+
+    def every(piece: Column) -> Column:
+        for rule in rules:
+            piece = bound(piece, rule)
+        return piece
+
+    can = "(?i)" + "|".join((*P.CONTEXT_WORDS, *(w for w, _, _ in P.KEYWORDS)))
+    return bound(text, lambda x: F.when(x.rlike(can), outside_fences(x, every)).otherwise(x))
+
+
+def redact(text: Column, rules: Rules = Rules(), phases: tuple[str, ...] = ("phase1", "phase2", "phase3")) -> Column:
+    """The redacted text, all in the JVM. Without hits: those come from the kernel."""
+    if "phase1" in phases:
+        text = phase1(text)
+    if "phase2" in phases:
+        text = phase2(text, rules)
+    return phase3(text) if "phase3" in phases else text
+
+
+def any_hit(text: Column, rules: Rules = Rules()) -> Column:
+    """Whether any rule of the three phases changes the text."""
+    return bound(text, lambda x: redact(x, rules) != x)
+
+
+def redact_as(text: Column, is_system: Column, policy: SystemPolicy = SystemPolicy(), rules: Rules = Rules()) -> Column:
+    """The redacted text; of system text the phases that the policy has on."""
+    own = tuple(p for p in ("phase1", "phase2", "phase3") if getattr(policy, p))
+    return bound(text, lambda x: F.when(is_system, redact(x, rules, own)).otherwise(redact(x, rules)))
+
+
 def contains_ci(text: Column, word: str) -> Column:
     """A keyword in a text, whatever the case. Small letters, not capitals: ß must not become SS."""
     return F.lit(False) if not word.strip() else F.lower(text).contains(word.lower())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -156,7 +157,10 @@ def fold(text: Column, found: Column) -> Column:
 
 def built(text: Column, level: Column, raw: Column) -> Column:
     """struct(content, status, reason, hits) of a raw answer."""
-    every = items(raw)
+    return native.bound(items(raw), lambda every: _built(text, level, every))
+
+
+def _built(text: Column, level: Column, every: Column) -> Column:
     valid = F.filter(every, lambda p: text.contains(p["value"]))
     none = F.expr(f"cast(array() as array<{HIT}>)")
 
@@ -173,26 +177,28 @@ def built(text: Column, level: Column, raw: Column) -> Column:
 
 
 def asked(extract: Extractor, text: str = "text", workers: int = 4) -> Column:
-    """struct(raw, failure): the extractor's answers. A batch's texts are asked `workers` at a time."""
+    """struct(raw, failure, seconds): the extractor's answers. A batch's texts are asked `workers` at a time."""
 
-    def one(t: str) -> tuple[str | None, str | None]:
+    def one(t: str) -> tuple[str | None, str | None, float]:
+        began = time.monotonic()
         try:
-            return extract(t), None
+            raw, failure = extract(t), None
         except TimeoutError:
-            return None, "timeout"
+            raw, failure = None, "timeout"
         except (OSError, ValueError, RuntimeError) as e:
-            return None, str(e)
+            raw, failure = None, str(e)
+        return raw, failure, time.monotonic() - began
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max(1, workers)) as pool:
             for texts in batches:
-                yield pd.DataFrame(list(pool.map(one, texts)), columns=["raw", "failure"], dtype=object)
+                yield pd.DataFrame(list(pool.map(one, texts)), columns=["raw", "failure", "seconds"])
 
-    return F.pandas_udf(run, "struct<raw:string,failure:string>")(text)
+    return F.pandas_udf(run, "struct<raw:string,failure:string,seconds:double>")(text)
 
 
-def desensitize(queue: DataFrame, extract: Extractor, config: Config = Config(), cache: DataFrame | None = None, root: str = ".") -> DataFrame:
-    """queue (with text, hit_level) and content, was_model_used, status, reason, hits.
+def redacted_by_model(queue: DataFrame, extract: Extractor, config: Config = Config(), cache: DataFrame | None = None, root: str = ".") -> DataFrame:
+    """queue (with text, hit_level) and content, was_model_used, status, reason, hits, seconds (of the answer).
 
     Equal texts are asked for once. `cache` (cache_key, content, hits) holds earlier results, which
     come first and are marked as such. Only successful results are worth keeping (see cacheable).
@@ -202,8 +208,8 @@ def desensitize(queue: DataFrame, extract: Extractor, config: Config = Config(),
     once = distinct.groupBy("cache_key").agg(F.first("text").alias("text"))
     if cache is not None:
         once = once.join(cache.select("cache_key"), "cache_key", "left_anti")
-    answers = once.withColumn("a", asked(extract, "text", config.model.max_concurrency)).select("cache_key", "a.raw", "a.failure")
-    fresh = distinct.join(answers, "cache_key").select("cache_key", "hit_level", "failure", built(F.col("text"), F.col("hit_level"), F.col("raw")).alias("r"), "text")
+    answers = once.withColumn("a", asked(extract, "text", config.model.max_concurrency)).select("cache_key", "a.raw", "a.failure", "a.seconds")
+    fresh = distinct.join(answers, "cache_key").select("cache_key", "hit_level", "failure", "seconds", built(F.col("text"), F.col("hit_level"), F.col("raw")).alias("r"), "text")
     failed = F.col("failure").isNotNull()
     fresh = fresh.select(
         "cache_key", "hit_level",
@@ -212,12 +218,13 @@ def desensitize(queue: DataFrame, extract: Extractor, config: Config = Config(),
         F.when(failed, "ModelFailure").otherwise(F.col("r.status")).alias("status"),
         F.when(failed, F.col("failure")).otherwise(F.col("r.reason")).alias("reason"),
         F.when(failed, F.expr(f"cast(array() as array<{HIT}>)")).otherwise(F.col("r.hits")).alias("hits"),
+        "seconds",
     )
     results = fresh
     if cache is not None:
         hits = F.transform("hits", lambda h: h.withField("phase", F.lit("llm-cache")))
         known = distinct.select("cache_key", "hit_level").join(cache.select("cache_key", "content", hits.alias("hits")), "cache_key")
-        results = fresh.unionByName(known.select("cache_key", "hit_level", "content", F.lit(False).alias("was_model_used"), F.lit("Success").alias("status"), F.lit(None).cast("string").alias("reason"), "hits"))
+        results = fresh.unionByName(known.select("cache_key", "hit_level", "content", F.lit(False).alias("was_model_used"), F.lit("Success").alias("status"), F.lit(None).cast("string").alias("reason"), "hits", F.lit(None).cast("double").alias("seconds")))
     return queue.join(results, ["cache_key", "hit_level"])
 
 

@@ -57,7 +57,7 @@ def classified(redacted_parts: DataFrame, config: Config = Config()) -> DataFram
 def with_semantics(df: DataFrame, extract: semantic.Extractor, config: Config = Config(), cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Classified parts after the model, and the model's results for those that were queued."""
     queue = df.where("action = 'queue'").select("request_id", "path", "part_idx", "text", "hit_level")
-    results = semantic.desensitize(queue, extract, config, cache)
+    results = semantic.redacted_by_model(queue, extract, config, cache)
     again = results.withColumn("_r", F.when(F.col("status") == "Success", redacted("content", config.rules)))
     again = again.select("request_id", "part_idx", "status", F.col("reason").alias("failure"), "was_model_used", F.col("hits").alias("model_hits"), F.col("_r.content").alias("final"), F.col("_r.hits").alias("post_hits"))
     joined = df.join(again, ["request_id", "part_idx"], "left")

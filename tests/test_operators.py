@@ -118,13 +118,13 @@ def fake(text):
 def test_desensitize_and_cache(spark):
     texts = ["Bob", "Bob", "slow", "down", "Ann", "none"]
     queue = spark.createDataFrame([(i, t, "Trigger") for i, t in enumerate(texts)], "id int, text string, hit_level string")
-    first = semantic.desensitize(queue, fake)
+    first = semantic.redacted_by_model(queue, fake)
     got = {r.id: (r.content, r.status, r.reason, r.was_model_used) for r in first.collect()}
     assert got[0] == got[1] == ("[REDACTED:NAME]", "Success", None, True) and got[4][0] == "[REDACTED:NAME]"
     assert got[2] == ("slow", "ModelFailure", "timeout", False) and got[3][2] == "local model returned 500" and got[5][1] == "EmptyResult"
     cache = semantic.cacheable(first)
     assert cache.count() == 2
-    again = {r.id: (r.was_model_used, [h.phase for h in r.hits]) for r in semantic.desensitize(queue, fake, cache=cache).collect()}
+    again = {r.id: (r.was_model_used, [h.phase for h in r.hits]) for r in semantic.redacted_by_model(queue, fake, cache=cache).collect()}
     assert again[0] == (False, ["llm-cache"]) and again[4][0] is False and len(again) == 6
     assert {r.reason: r.n for r in audit.failure_counts(first).collect()} == {"timeout": 1, "local model returned 500": 1, "empty pii array": 1}
 

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from cloakwork.config import Config, Target
 from cloakwork.functions.kernel import redacted
 from cloakwork.operators import audit
-from cloakwork.plans import pipeline, queries
+from cloakwork.plans import more_queries, pipeline, queries  # noqa: F401
 from cloakwork.sources import requests as source
 from cloakwork.streaming import runner
 
