@@ -11,8 +11,10 @@ overlaps one is no instance.
 
 Cases: a null or empty text has no spans; a null doc_id keeps its row; repeated rows each get
 their own result and copies of one text don't make a pattern more confident (instances are
-distinct); a table without seeds yields base spans only; empty tables give empty results; columns
-besides doc_id and text are ignored or kept, whatever their names.
+distinct); of kinds with equal scores the first listed counts; identifiers are tokens of TOKEN_LEAST signs
+or more with a digit among them: shorter ones and words are never discovered by context alone; texts of any
+length are read whole; a table without seeds yields base spans only; empty tables give empty results;
+columns besides doc_id and text are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +42,10 @@ SEED_KEYS = r"^(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,})$
 _TOKEN = r"(?<![A-Za-z0-9_/+.-])(?=[A-Za-z_/+.-]*+[0-9])[A-Za-z0-9_/+.-]++"
 _EDGE = r"[_/+.-]+"
 TOKEN_LEAST, LEFT = 6, 48
-ROUNDS, GATE, CONFIDENT, SUPPORT = 4, 0.4, 0.7, 5
+#: The method's constants: rounds over the graph; the least score at which a pattern speaks for its instances;
+#: the least at which it marks unseen ones; the least number of distinct instances of a pattern; and so many
+#: instances of no kind are added to each, so that a few chance ones don't make a pattern confident.
+ROUNDS, GATE, CONFIDENT, SUPPORT, DOUBT = 4, 0.4, 0.7, 5, 2
 #: Up to so many confident patterns ride in the plan; more are joined.
 INLINE_PATTERNS = 10_000
 
@@ -176,13 +181,13 @@ def patterns_of(scanned: DataFrame) -> DataFrame:
     # a pattern that has too few distinct instances can't get confident, whatever they score
     known = cut(known.where(F.col("n") >= SUPPORT))
     open_ = cut(graph.where("rank = -1").join(known.select("pattern"), "pattern", "left_semi").select("pattern", "inst"))
-    scored = known.select("pattern", "n", *(F.col(f"n{i}") for i in k), *((F.col(f"n{i}") / (F.col("n") + 1)).alias(f"c{i}") for i in k))
+    scored = known.select("pattern", "n", *(F.col(f"n{i}") for i in k), *((F.col(f"n{i}") / (F.col("n") + DOUBT)).alias(f"c{i}") for i in k))
     for _ in range(ROUNDS):
         gated = [F.when(F.col(f"c{i}") >= GATE, F.col(f"c{i}")).otherwise(0.0).alias(f"s{i}") for i in k]
         inst = open_.join(scored.select("pattern", *gated), "pattern").groupBy("inst").agg(*(F.max(f"s{i}").alias(f"s{i}") for i in k))
         added = open_.join(inst, "inst").groupBy("pattern").agg(*(F.sum(f"s{i}").alias(f"a{i}") for i in k))
         joined = known.join(added, "pattern", "left")
-        scored = cut(joined.select("pattern", "n", *(F.col(f"n{i}") for i in k), *(((F.col(f"n{i}") + F.coalesce(f"a{i}", F.lit(0.0))) / (F.col("n") + 1)).alias(f"c{i}") for i in k)))
+        scored = cut(joined.select("pattern", "n", *(F.col(f"n{i}") for i in k), *(((F.col(f"n{i}") + F.coalesce(f"a{i}", F.lit(0.0))) / (F.col("n") + DOUBT)).alias(f"c{i}") for i in k)))
     best = F.greatest(*(F.col(f"c{i}") for i in k))
     rank = F.coalesce(*(F.when(F.col(f"c{i}") == best, i) for i in k))
     return scored.where(best >= CONFIDENT).select("pattern", rank.alias("rank"))

@@ -5,14 +5,17 @@ signed changes: an insert counts +1 and its tokens, a delete -1 and minus its to
 both. A batch of changes is pre-aggregated to one row per group and written to a folder of its
 own, named by the batch; it counts once its folder is complete. Committing a batch again finds
 the folder and does nothing, and a batch that broke off is written anew: so every batch counts
-exactly once. `compact` folds the batches into one base; their names stay known.
+exactly once. `compact` folds the batches that one look at the folder finds into a base; their names stay
+known. A batch committed meanwhile is in the next one. Folders that an older base holds are deleted with the
+compaction after it, so that who has just listed them can still read them.
 
 Tokenizers are given by version; any Column expression counts tokens natively, and
 `bpe_counts` counts with a public vocabulary file.
 
 Cases: null texts have no tokens; null sources or languages are groups of their own; a group
 whose totals have come to zero leaves the report; deletes may arrive before inserts; repeated
-rows of a batch are so many changes; empty batches commit too; other columns are ignored.
+rows of a batch are so many changes; empty batches commit too; an id labelled twice counts as toxic if any
+label says so, and as of low quality likewise; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,18 +28,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder
+from .common import cut, remove, shared_folder
 
 GROUP = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_chars")
 
 #: Native tokenizers by version: white-space words; and runs of letters, up to three digits, single signs.
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {
-    "words-1": lambda text: F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")),
-    "pieces-2": lambda text: F.regexp_count(text, F.lit(r"[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]{1,3}|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]")),
+    "words-1": lambda text: _runs(text, r"[^\x20\x09-\x0D]+"),
+    "pieces-2": lambda text: _runs(text, r"[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]{1,3}|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]"),
 }
 
 
+def _runs(text: Column, pattern: str) -> Column:
+    """How many matches a pattern has that leaves only white space unmatched: each becomes one letter."""
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit("x"))
+    return F.length(F.translate(marked, " \t\n\x0b\x0c\r", ""))
+
+
 def counted(docs: DataFrame, tokenizers: dict[str, Callable[[Column], Column]] = TOKENIZERS, text: str = "text") -> Column:
     """An array with a struct (tokenizer, n_tokens, n_chars) for every version."""
     t = F.coalesce(text, F.lit(""))
@@ -93,50 +102,69 @@ class Rollup:
         names = [s.getPath().getName() for s in self.fs.listStatus(self._path(top))]
         return sorted(n for n in names if self.fs.exists(self._path(f"{top}/{n}/_SUCCESS")))
 
+    def _snapshot(self) -> tuple[str | None, list[str]]:
+        """One look at the folder: the newest base, and the complete batches that aren't in it."""
+        base, alone = max(self._complete("bases"), default=None), self._complete("batches")
+        if base and alone:
+            held = self._members(base).where(F.col("batch").isin(alone)).collect()  # of those that still have a folder
+            alone = sorted(set(alone) - {r["batch"] for r in held})
+        return base, alone
+
+    def _members(self, base: str) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{self.folder}/members/{base}")
+
     def batches(self) -> list[str]:
         """The batches that count, whether they still stand alone or are part of the base."""
-        base = self._base()
-        return sorted({*self._complete("batches"), *(self._members(base) if base else ())})
+        base, alone = self._snapshot()
+        return sorted({*alone, *((r["batch"] for r in self._members(base).collect()) if base else ())})
 
-    def _base(self) -> str | None:
-        return max(self._complete("bases"), default=None)
-
-    def _members(self, base: str) -> list[str]:
-        return [r["batch"] for r in self.spark.read.parquet(f"{self.folder}/members/{base}").collect()]  # names only
+    def _known(self, batch: str) -> bool:
+        base, alone = self._snapshot()
+        return batch in alone or base is not None and not self._members(base).where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Adds a batch of changes; False if it has been committed before."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.-]*", batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        if batch in self.batches():
+        if self._known(batch):
             return False
         sums = rows.groupBy(*GROUP).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS))
         sums.write.mode("overwrite").parquet(f"{self.folder}/batches/{batch}")
         return True
 
-    def _parts(self) -> DataFrame | None:
-        base = self._base()
-        done = set(self._members(base)) if base else set()
-        paths = [f"{self.folder}/batches/{b}" for b in self._complete("batches") if b not in done]
-        paths += [f"{self.folder}/bases/{base}"] if base else []
+    def _parts(self, base: str | None, alone: list[str]) -> DataFrame | None:
+        paths = [f"{self.folder}/batches/{b}" for b in alone] + ([f"{self.folder}/bases/{base}"] if base else [])
         return self.spark.read.parquet(*paths) if paths else None
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_chars; groups that have come to zero are gone."""
-        parts = self._parts()
+        return self._sums(self._parts(*self._snapshot()))
+
+    def _sums(self, parts: DataFrame | None) -> DataFrame:
         if parts is None:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
         sums = parts.groupBy(*GROUP).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS))
         return sums.where("n_docs != 0 or n_tokens != 0 or n_chars != 0")
 
     def compact(self) -> None:
-        """Folds all batches into a new base. Its member list is complete before the base is."""
-        parts, names = self._parts(), self.batches()
-        if parts is None:
+        """Folds the batches of one snapshot into a new base. Its member list is complete before the base is."""
+        base, alone = self._snapshot()
+        if not alone:
             return
-        base = f"{int(self._base() or 0) + 1:012d}"
-        self.spark.createDataFrame([(n,) for n in names], "batch string").write.mode("overwrite").parquet(f"{self.folder}/members/{base}")
-        self.totals().write.mode("overwrite").parquet(f"{self.folder}/bases/{base}")
+        new = f"{int(base or 0) + 1:012d}"
+        names = self.spark.createDataFrame([(n,) for n in alone], "batch string")
+        if base:
+            names = names.unionByName(self._members(base))
+        names.write.mode("overwrite").parquet(f"{self.folder}/members/{new}")
+        self._sums(self._parts(base, alone)).write.mode("overwrite").parquet(f"{self.folder}/bases/{new}")
+        if base:  # what the base before this one held has been folded twice
+            standing = set(self._complete("batches")) - set(alone)
+            for r in self._members(base).where(F.col("batch").isin(sorted(standing))).collect() if standing else ():
+                self.fs.delete(self._path(f"batches/{r['batch']}"), True)
+            for old in self._complete("bases"):
+                if old < base:
+                    self.fs.delete(self._path(f"bases/{old}"), True)
+                    self.fs.delete(self._path(f"members/{old}"), True)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,12 +178,15 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = both.select("doc_id", "source", "lang", counted(both).alias("old"), counted(both, text="plain").alias("new"))
     counts = cut(counts)
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    marked = counts.join(marks.where("toxic = 1 or quality = 0"), "doc_id")
+    marked = cut(counts.join(marks.where("toxic = 1 or quality = 0"), "doc_id"))
     spread = lambda rows, c: rows.select("source", "lang", F.explode(c).alias("c")).select("source", "lang", "c.*")
-    rollup = Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    rollup = Rollup(spark, folder)
     toxic, poor = marked.where("toxic = 1"), marked.where("quality = 0 and (toxic is null or toxic <> 1)")
     rollup.commit("1-inserts", signed(spread(counts, "old"), 1))
     rollup.commit("2-deletes", signed(spread(toxic, "old"), -1))
     rollup.commit("3-revisions", signed(spread(poor, "old"), -1).unionByName(signed(spread(poor, "new"), 1)))
     rollup.commit("2-deletes", signed(spread(toxic, "old"), -1))
-    return rollup.totals()
+    totals = cut(rollup.totals())
+    remove(spark, folder)
+    return totals
