@@ -1,7 +1,7 @@
 """Near copies by word shingles: pairs of texts whose sets of five-word shingles have a Jaccard of 0.8 or more.
 
 Words are those of operator 4 (ASCII capitals lowered, split at ASCII white space). MinHash in BANDS bands
-of ROWS finds candidates: a pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8**5)**40, about
+of ROWS finds candidates: a pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8**4)**30, about
 1e-7, and closer pairs with less. Candidates of a band's key are verified from the sets themselves, in two
 steps. First all texts of a key against two of them (its smallest and its largest node): that is linear, and
 as a rule unites a group of copies, however large. Then, of keys whose texts still stand in several
@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, spread
+from .common import cut, join_hot, small, spread
 from .simhash import _roots, components, shingle_hashes
 
 SHINGLE = 5
 #: The least Jaccard as a fraction of whole numbers: compared without rounding.
 LEAST = (4, 5)
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 30, 4
 PIECE_TEXTS, PIECE_HASHES = 256, 1 << 20
 #: A set that stands for a hot key is broadcast only up to so many hashes (HOT_KEYS of them: 80 MB).
 HOT_HASHES = 50_000
@@ -43,16 +43,16 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle, 0)]))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
+def bands(hashes: np.ndarray) -> np.ndarray:
     """A key for every band, with the band's number in its hash; none for an empty set."""
     if not len(hashes):
-        return []
+        return np.zeros(0, np.int64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), _PIECE):
         mixed = (hashes[at : at + _PIECE, None] ^ _FACTORS[0]) * _FACTORS[1]
         least = np.minimum(least, mixed.min(axis=0))
     keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return np.array(keys, np.uint64).view(np.int64)
 
 
 def alike(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> np.ndarray:
@@ -98,10 +98,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([shingles(t).view(np.int64).tolist() for t in texts])
+            yield pd.Series([shingles(t).view(np.int64) for t in texts])
 
-    texts = docs.select(F.xxhash64("text").alias("node"), "text").where("text is not null").groupBy("node").agg(F.first("text").alias("text"))
-    return texts.join(nodes, "node", "left_semi").select("node", F.pandas_udf(run, "array<long>")("text").alias("s")).withColumn("n", F.size("s"))
+    texts = docs.select(F.xxhash64("text").alias("node"), "text").where("text is not null")
+    texts = texts.join(small(cut(nodes)), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return spread(texts, "node").select("node", F.pandas_udf(run, "array<long>")("text").alias("s")).withColumn("n", F.size("s"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -122,33 +123,26 @@ def _rest(met: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     roots = components(found)
     stand = cut(met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")))
     sums = (F.min("part") != F.max("part")).alias("open"), F.count("*").alias("many"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")
-    # bands that hold the very same texts are looked at once
-    left = stand.groupBy("key").agg(*sums).where("open").groupBy("many", "mark").agg(F.min("key").alias("key"))
+    # of up to three texts the smallest and the largest have met all; bands of the very same texts are looked at once
+    left = stand.groupBy("key").agg(*sums).where("open and many > 3").groupBy("many", "mark").agg(F.min("key").alias("key"))
     rows = join_hot(stand.drop("part"), cut(left.select("key", "many")), "key", "many").join(sets.select("node", "n"), "node")
     pieces = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / PIECE_TEXTS), F.ceil(F.sum("n") / PIECE_HASHES)).cast("int").alias("pieces"), F.count("*").alias("many"))
     rows = join_hot(cut(rows.select("key", "node")), cut(pieces), "key", "many")
     rows = rows.withColumn("p", F.pmod(F.xxhash64("node", F.lit(7)), "pieces")).select("key", "node", "p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
     rows = rows.select("key", "node", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")).join(sets.select("node", "s"), "node")
-    groups = rows.groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", "s")).alias("x")).where(F.size("x") > 1)
 
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x in batch["x"]:
-                nodes = np.array([y["node"] for y in x], np.int64)
-                root = alike([np.asarray(y["s"], np.int64).view(np.uint64) for y in x])
-                child = np.nonzero(root != np.arange(len(root)))[0]
-                a.append(nodes[root[child]])
-                b.append(nodes[child])
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    def linked(x: pd.DataFrame) -> pd.DataFrame:
+        nodes = x["node"].to_numpy()
+        root = alike([np.asarray(s, np.int64).view(np.uint64) for s in x["s"]])
+        child = np.nonzero(root != np.arange(len(root)))[0]
+        return pd.DataFrame({"a": nodes[root[child]], "b": nodes[child]})
 
-    return spread(groups.select("x")).mapInPandas(linked, "a long, b long").distinct()
+    return rows.groupBy("key", "low", "high").applyInPandas(linked, "a long, b long").distinct()
 
 
 def links(docs: DataFrame) -> DataFrame:
     """a, b: texts that are alike, by their nodes (xxhash64 of the text); all others follow over these."""
-    rows = cut(keyed(docs))
-    each = spread(rows).select("node", F.explode("keys").alias("key"))
+    each = cut(spread(keyed(docs))).select("node", F.explode("keys").alias("key"))
     ends = cut(each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("many > 1"))
     met = cut(join_hot(each, ends, "key", "many").select("key", "node", "low", "high"))
     pairs = met.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
