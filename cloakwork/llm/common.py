@@ -58,6 +58,20 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns)
 
 
+#: Texts go to Python and back in batches of at most so many rows.
+BATCH = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long: the usual batches of 10,000 rows would take hundreds of megabytes on both sides.
+
+    Sets the session's limit, unless it has a lower one.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 #: At most so many keys are held to be hot.
 HOT_KEYS = 200
 

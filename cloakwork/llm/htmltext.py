@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 # Names of HTML elements by their role, and words by which page builders name
 # the parts of a page that are not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -353,5 +355,6 @@ def extract(pages: DataFrame) -> DataFrame:
         for htmls in batches:
             yield pd.Series([main_text(h) for h in htmls], dtype=object)
 
+    short_batches(pages.sparkSession)
     texts = pages.select("page_id", "url", F.pandas_udf(run, "string")("html").alias("text"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

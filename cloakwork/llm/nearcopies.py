@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, small, spread
+from .common import cut, join_hot, short_batches, small, spread
 from .simhash import _roots, components, shingle_hashes
 
 SHINGLE = 5
 #: The least Jaccard as a fraction of whole numbers: compared without rounding.
 LEAST = (4, 5)
 BANDS, ROWS = 30, 4
-PIECE_TEXTS, PIECE_HASHES = 256, 1 << 20
+PIECE_TEXTS, PIECE_HASHES = 256, 1 << 18
 #: A set that stands for a hot key is broadcast only up to so many hashes (HOT_KEYS of them: 80 MB).
 HOT_HASHES = 50_000
 _PIECE = 1 << 8
@@ -89,6 +89,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([bands(shingles(t)) for t in texts])
 
+    short_batches(docs.sparkSession)
     found = docs.select(F.xxhash64("text").alias("node"), F.pandas_udf(run, "array<long>")("text").alias("keys"))
     return found.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"))
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, short_batches
 from .learning import Adam, platt, sample, sigmoid
 
 PASSAGE, PIECE = 64, 400
@@ -161,6 +161,7 @@ def scored(model: dict, text: str = "text") -> Column:
 
 def score(docs: DataFrame, model: dict, cut: float) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs, over its whole text."""
+    short_batches(docs.sparkSession)
     rows = docs.select("doc_id", (fold_of(F.col("doc_id")) == 2).alias("held_out"), scored(model).alias("score"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
@@ -171,4 +172,5 @@ def report(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     """The rows of docs with a score of at least cut, with all their columns; no row is moved."""
+    short_batches(docs.sparkSession)
     return docs.where(scored(train(*sample(docs, labels, "quality"))) >= cut)

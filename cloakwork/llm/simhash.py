@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, cut, join_hot, small, spread
+from .common import Steps, cut, join_hot, short_batches, small, spread
 
 BITS, SEED = 64, 42
 DISTANCE = 2
@@ -90,6 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for texts in batches:
             yield pd.Series(np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
 
+    short_batches(docs.sparkSession)
     return docs.select("doc_id", F.pandas_udf(run, "long")("text").alias("fp"), F.xxhash64("text").alias("node"))
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, short_batches
 from .learning import Adam, platt, sample, sigmoid
 
 WINDOW, STRIDE, PIECE = 64, 48, 20
@@ -312,6 +312,7 @@ def score(docs: DataFrame, model: dict, cut: float) -> DataFrame:
             else:
                 yield pd.Series(sigmoid(model["a"] * scorer.highest(texts.tolist()) + model["b"]))
 
+    short_batches(docs.sparkSession)
     rows = docs.select("doc_id", (fold_of(F.col("doc_id")) == 2).alias("held_out"), F.pandas_udf(run, "double")("text").alias("score"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
