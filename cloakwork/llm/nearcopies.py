@@ -3,10 +3,11 @@
 Words are those of operator 4 (ASCII capitals lowered, split at ASCII white space). MinHash in BANDS bands
 of ROWS finds candidates: a pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8**4)**30, about
 1e-7, and closer pairs with less. Candidates of a band's key are verified from the sets themselves, in two
-steps. First all texts of a key against two of them (its smallest and its largest node): that is linear, and
-as a rule unites a group of copies, however large. Then, of keys whose texts still stand in several
-components, all texts with each other, in pieces of at most PIECE_TEXTS texts and PIECE_HASHES hashes, two
-pieces a task: so no link is left out by which pair was looked at first, and no task holds a whole group.
+steps. First all texts of a key against two of them (the first and the last in one of ORDERS orders): that is
+linear, and as a rule unites a group of copies, however large. Then, of keys whose texts still stand in several
+components, the texts outside the largest one against all, in pieces of at most PIECE_TEXTS texts and
+PIECE_HASHES hashes, two pieces a task: so no link is left out by which pair was looked at first, and no task
+holds a whole group.
 Only links that connect are given on, never all pairs.
 
 Cases: null and wordless texts take no part (operator 4 links them); fewer words than a shingle make one
@@ -31,6 +32,7 @@ SHINGLE = 5
 #: The least Jaccard as a fraction of whole numbers: compared without rounding.
 LEAST = (4, 5)
 BANDS, ROWS = 30, 4
+ORDERS = 8
 PIECE_TEXTS, PIECE_HASHES = 256, 1 << 18
 #: A set that stands for a hot key is broadcast only up to so many hashes (HOT_KEYS of them: 80 MB).
 HOT_HASHES = 50_000
@@ -120,17 +122,26 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rest(met: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that the keys in met hold beyond those found."""
+    """Links that the keys in met hold beyond those found.
+
+    Of a key whose texts stand in several components, those outside the largest one meet all: so a large
+    group of copies that is united already costs no more than its size.
+    """
     roots = components(found)
     stand = cut(met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")))
     sums = (F.min("part") != F.max("part")).alias("open"), F.count("*").alias("many"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")
-    # of up to three texts the smallest and the largest have met all; bands of the very same texts are looked at once
+    # of up to three texts the two ends have met all; bands of the very same texts are looked at once
     left = stand.groupBy("key").agg(*sums).where("open and many > 3").groupBy("many", "mark").agg(F.min("key").alias("key"))
-    rows = join_hot(stand.drop("part"), cut(left.select("key", "many")), "key", "many").join(sets.select("node", "n"), "node")
-    pieces = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / PIECE_TEXTS), F.ceil(F.sum("n") / PIECE_HASHES)).cast("int").alias("pieces"), F.count("*").alias("many"))
-    rows = join_hot(cut(rows.select("key", "node")), cut(pieces), "key", "many")
-    rows = rows.withColumn("p", F.pmod(F.xxhash64("node", F.lit(7)), "pieces")).select("key", "node", "p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
-    rows = rows.select("key", "node", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")).join(sets.select("node", "s"), "node")
+    rows = cut(join_hot(stand, cut(left.select("key", "many")), "key", "many").join(sets.select("node", "n"), "node").select("key", "node", "part", "n"))
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    whole = parts.groupBy("key").agg(F.max(F.struct("c", "part", "n")).alias("main"), F.sum("c").alias("many"), F.sum("n").alias("n"))
+    pieces = lambda c, n: F.greatest(F.ceil(c / PIECE_TEXTS), F.ceil(n / PIECE_HASHES)).cast("int")
+    plan = whole.select("key", "many", F.col("main.part").alias("main"), pieces(F.col("many"), F.col("n")).alias("all"), pieces(F.col("many") - F.col("main.c"), F.col("n") - F.col("main.n")).alias("few"))
+    rows = join_hot(rows.select("key", "node", "part"), cut(plan), "key", "many")
+    mine = F.xxhash64("node", F.lit(7))
+    every = rows.select("key", "node", F.pmod(mine, "all").alias("x"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("y"))
+    others = rows.where("part <> main").select("key", "node", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("x"), F.pmod(mine, "few").alias("y"))
+    rows = every.union(others).distinct().join(sets.select("node", "s"), "node")
 
     def linked(x: pd.DataFrame) -> pd.DataFrame:
         nodes = x["node"].to_numpy()
@@ -138,14 +149,17 @@ def _rest(met: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
         child = np.nonzero(root != np.arange(len(root)))[0]
         return pd.DataFrame({"a": nodes[root[child]], "b": nodes[child]})
 
-    return rows.groupBy("key", "low", "high").applyInPandas(linked, "a long, b long").distinct()
+    return rows.groupBy("key", "x", "y").applyInPandas(linked, "a long, b long").distinct()
 
 
 def links(docs: DataFrame) -> DataFrame:
     """a, b: texts that are alike, by their nodes (xxhash64 of the text); all others follow over these."""
     each = cut(spread(keyed(docs))).select("node", F.explode("keys").alias("key"))
-    ends = cut(each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("many > 1"))
-    met = cut(join_hot(each, ends, "key", "many").select("key", "node", "low", "high"))
+    # every key orders nodes by one of ORDERS ways: so the bands of a group measure it against many of its texts
+    turn = F.xxhash64(F.pmod("key", F.lit(ORDERS)))
+    turned = F.col("node").bitwiseXOR(turn)
+    ends = cut(each.groupBy("key").agg(F.min(turned).alias("low"), F.max(turned).alias("high"), F.count("*").alias("many")).where("many > 1"))
+    met = cut(join_hot(each, ends, "key", "many").select("key", "node", F.col("low").bitwiseXOR(turn).alias("low"), F.col("high").bitwiseXOR(turn).alias("high")))
     pairs = met.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     sets = cut(sets_of(docs, met.select("node").distinct()))
     found = cut(_verified(pairs, sets))

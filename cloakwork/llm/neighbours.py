@@ -187,7 +187,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, sampl
     # equal vectors once: k + 1 of their ids are enough for any query, even one of themselves
     nodes = _smallest(rows, k + 1)
     nodes = cut(nodes.withColumn("node", F.col("ids")[0]))
-    fitted = np.array([r["v"] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").collect()])
+    # nodes first, as every task sends so many; then their vectors
+    first = cut(nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(sample))
+    chosen = nodes.join(F.broadcast(first), "node").select("node", "v").collect()
+    fitted = np.array([r["v"] for r in sorted(chosen, key=lambda r: r["node"])])
     grown = Forest(fitted, trees, max(4, min(LEAF, len(fitted) // 4)), seed)
     forest = spark.sparkContext.broadcast(grown)
 
