@@ -51,11 +51,11 @@ class Forest:
         rng = np.random.default_rng(seed)
         self.dims = sample.shape[1]
         self.roots: list[int] = []
-        left, right, cuts, dirs, sizes = [], [], [], [], []
+        left, right, cuts, dirs = [], [], [], []
 
         def new() -> int:
-            for a in (left, right, sizes):
-                a.append(-1)
+            left.append(-1)
+            right.append(-1)
             cuts.append(0.0)
             dirs.append(None)
             return len(left) - 1
@@ -72,7 +72,7 @@ class Forest:
                         a, b = sample[rng.choice(rows, 2, replace=False)]
                         d = (a - b) + 0.1 * rng.normal(size=self.dims) * (np.linalg.norm(a - b) / np.sqrt(self.dims) + 1e-9)
                         size = np.linalg.norm(d)
-                        d = d / size if size else rng.normal(size=self.dims) / np.sqrt(self.dims)
+                        d = (d / size if size else rng.normal(size=self.dims) / np.sqrt(self.dims)).astype(np.float32)
                         at = sample[rows] @ d
                         mid = float(np.median(at))
                         low = at < mid
@@ -80,14 +80,16 @@ class Forest:
                             best = (d, mid, low)
                             break
                 if best is None:
-                    sizes[node] = len(rows)
                     continue
                 dirs[node], cuts[node] = best[0], best[1]
                 left[node], right[node] = new(), new()
                 stack += [(left[node], rows[best[2]]), (right[node], rows[~best[2]])]
-        self.left, self.right, self.cuts = np.array(left), np.array(right), np.array(cuts)
-        self.sizes = np.array(sizes)
-        self.dirs = np.array([np.zeros(self.dims) if d is None else d for d in dirs])
+        self.left, self.right, self.cuts = np.array(left, np.int32), np.array(right, np.int32), np.array(cuts)
+        # directions of the nodes that branch alone; row: where a node's stands
+        inner = self.left >= 0
+        self.row = np.cumsum(inner, dtype=np.int32) - 1
+        self.dirs = np.array([d for d in dirs if d is not None], np.float32).reshape(int(inner.sum()), self.dims)
+        self.cuts = self.cuts[inner]
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of every row of x in every tree."""
@@ -99,20 +101,21 @@ class Forest:
                 if not len(rows):
                     break
                 at = here[rows]
-                side = np.einsum("ij,ij->i", x[rows], self.dirs[at]) < self.cuts[at]
+                own = self.row[at]
+                side = np.einsum("ij,ij->i", x[rows], self.dirs[own]) < self.cuts[own]
                 here[rows] = np.where(side, self.left[at], self.right[at])
             out[:, t] = here
         return out
 
     def walk(self, q: np.ndarray) -> Iterator[int]:
         """The leaves of all trees, nearest to q first."""
-        margins = self.dirs @ q - self.cuts
+        margins = (self.dirs @ q - self.cuts).tolist()
         queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
         while queue:
             passed, node = heapq.heappop(queue)
             while self.left[node] >= 0:
-                m = margins[node]
+                m = margins[self.row[node]]
                 near, far = (self.left[node], self.right[node]) if m < 0 else (self.right[node], self.left[node])
                 heapq.heappush(queue, (passed + m * m, int(far)))
                 node = near
@@ -216,16 +219,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, sampl
     questions = cut(asked.groupBy("qnode").agg(F.first("qv").alias("qv")))
     budget = _budget(grown, counts, dealt, nodes, questions, k, target)
 
+    # a leaf's members are kept as lists of at most a block, which a query takes as they are
+    lists = -(-counts // BLOCK_ROWS)
+    parts = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(lists)), "lists": lists}), "leaf int, lists int")
+    members = placed.select("node", F.struct("node", "block", "piece").alias("m"), F.explode("leaf").alias("leaf")).join(F.broadcast(parts), "leaf")
+    members = members.groupBy("leaf", F.pmod(F.xxhash64("node", F.lit(3)), "lists").cast("int").alias("list")).agg(F.collect_list("m").alias("m"))
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for qnode, v in zip(b["qnode"], b["qv"]):
-                leaves = forest.value.search(np.asarray(v, np.float64), counts, budget)
-                yield pd.DataFrame({"qnode": qnode, "leaf": np.array(leaves, np.int32)})
-
-    routes = spread(questions, "qnode").mapInPandas(route, "qnode long, leaf int")
-    members = placed.select("node", "block", "piece", F.explode("leaf").alias("leaf"))
-    wanted = routes.join(members, "leaf").select("qnode", "block", "piece", "node").distinct()
-    wanted = wanted.groupBy("block", "piece", "qnode").agg(F.collect_list("node").alias("nodes"))  # at most a block
+                leaves = np.array(forest.value.search(np.asarray(v, np.float64), counts, budget), np.int32)
+                many = lists[leaves]
+                yield pd.DataFrame({"qnode": qnode, "leaf": np.repeat(leaves, many), "list": np.concatenate([np.arange(k, dtype=np.int32) for k in many])})
+
+    def gather(x: pd.DataFrame) -> pd.DataFrame:
+        """A query's candidates, each once, by the block that holds them."""
+        found = pd.DataFrame({c: np.concatenate(x[c].tolist()) for c in ("node", "block", "piece")}).drop_duplicates("node")
+        rows = [(int(x["qnode"].iloc[0]), *key, own["node"].to_numpy()) for key, own in found.groupby(["block", "piece"])]
+        return pd.DataFrame(rows, columns=["qnode", "block", "piece", "nodes"])
+
+    routes = spread(questions, "qnode").mapInPandas(route, "qnode long, leaf int, list int")
+    wanted = routes.join(members, ["leaf", "list"]).select("qnode", *(F.col(f"m.{c}").alias(c) for c in ("node", "block", "piece")))
+    wanted = wanted.groupBy("qnode").applyInPandas(gather, "qnode long, block long, piece int, nodes array<long>")
     wanted = cut(wanted.join(questions, "qnode")).select("block", "piece", "qnode", "nodes", "qv")
     rounds = cut(wanted.groupBy("block", "piece").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("rounds"))).toDF("block", "piece", "rounds")
     wanted = wanted.join(rounds, ["block", "piece"]).withColumn("turn", F.pmod(F.xxhash64("qnode"), "rounds").cast("int"))
