@@ -37,7 +37,7 @@ from .common import cut, spread
 #: The trees are fitted on at most so many vectors, the first by a hash of their ids.
 SAMPLE = 20_000
 #: Leaves of so many sampled vectors.
-TREES, LEAF = 32, 8
+TREES, LEAF = 16, 8
 #: The share of exact neighbours that the budget has to meet, and for how many queries it is measured.
 TARGET, CHECKED = 0.95, 100
 #: A block holds at most so many vectors, and meets at most so many queries at once.
@@ -192,8 +192,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, sampl
     nodes = cut(nodes.withColumn("node", F.col("ids")[0]))
     # nodes first, as every task sends so many; then their vectors
     first = cut(nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(sample))
-    chosen = nodes.join(F.broadcast(first), "node").select("node", "v").collect()
-    fitted = np.array([r["v"] for r in sorted(chosen, key=lambda r: r["node"])])
+    chosen = nodes.join(F.broadcast(first), "node").select("node", "v").toArrow().sort_by("node")
+    fitted = chosen["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, lengths["n"])
     grown = Forest(fitted, trees, max(4, min(LEAF, len(fitted) // 4)), seed)
     forest = spark.sparkContext.broadcast(grown)
 
