@@ -8,9 +8,11 @@ weights alone. A category that has fewer tokens than its target of the budget is
 others of its margin share the rest in the ratio of their targets. The draw is a hash of the
 document's id: the same documents are kept in any run, order or number of partitions.
 
-Topics are learnt: spherical k-means over hashed words weighed by tf-idf, fitted on a bounded sample of
-documents (the first SAMPLE_DOCS by a hash, of at most SAMPLE_CHARS characters), by which every document
-is assigned by its whole text. A column of that name takes their place if there is one.
+Topics are learnt: spherical k-means over hashed words weighed by tf-idf, fitted on the whole texts of all
+documents, each of which is then assigned to its nearest topic. Texts are read once, to histograms in the
+shared folder; idf, the k-means++ start and every step are a pass over these. Sums are of whole numbers, so
+that any order and number of partitions learns the very same topics. A column of that name takes their place
+if there is one.
 
 Cases: null sources, languages or topics are a category of their own; null or empty texts have no
 tokens and are kept with their cell's probability, or 0 if the cell has no tokens; null ids are drawn
@@ -23,7 +25,8 @@ never read: mix() puts the computed ones in their place; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, cut, short_batches
+from .common import Steps, cut, remove, short_batches
 
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
@@ -41,8 +44,16 @@ ROUNDS, CLOSE = 200, 1e-9
 #: Weights stay within; where margins contradict each other they would grow without end.
 WITHIN = (1e-9, 1e9)
 KEPT_WORDS = 200_000
-#: Topics are fitted on at most so many documents, none of more characters; words are hashed to WORDS places.
-SAMPLE_DOCS, SAMPLE_CHARS, WORDS, STEPS = 2000, 20_000, 1 << 12, 25
+#: Words are hashed to WORDS places; k-means takes at most STEPS steps.
+WORDS, STEPS = 1 << 12, 25
+#: Histograms of up to so many places together are held by the driver (6 bytes a place); more are read in every pass.
+DRIVER_PLACES = 1 << 20
+#: Rows are computed on in pieces of about so many places.
+_PIECE = 1 << 16
+#: Components of unit vectors are summed as multiples of 1 / _UNIT.
+_UNIT = float(1 << 30)
+#: The tasks' sums are added up by so many tasks before the driver adds theirs.
+_ADDERS = 4
 
 
 class _Places(dict):
@@ -60,51 +71,216 @@ def _uses(places: _Places, text: str | None) -> np.ndarray:
     return np.bincount([*map(places.__getitem__, (text or "").lower().split())], minlength=WORDS) if text else np.zeros(WORDS, np.int64)
 
 
+def _histogram(uses: np.ndarray) -> tuple[bytes, bytes]:
+    """The places that are used, and the logarithm of 1 + how often each is."""
+    at = np.flatnonzero(uses)
+    return at.astype(np.uint16).tobytes(), np.log1p(uses[at]).astype(np.float32).tobytes()
+
+
+@dataclass
+class _Rows:
+    """Histograms of some texts, one after the other; none is empty."""
+
+    h: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    places: np.ndarray
+    logs: np.ndarray
+
+
+def _pieces(h: Sequence[int], places: Sequence[bytes], logs: Sequence[bytes]) -> Iterator[_Rows]:
+    """The histograms in pieces of about _PIECE places."""
+    sizes = np.fromiter(map(len, places), np.int64, len(places)) // 2
+    piece = np.cumsum(sizes) // _PIECE
+    for a, b in zip(starts := np.flatnonzero(np.diff(piece, prepend=-1)), [*starts[1:], len(sizes)]):
+        n = sizes[a:b]
+        at = np.frombuffer(b"".join(places[a:b]), np.uint16).astype(np.intp)
+        yield _Rows(np.asarray(h[a:b], np.int64).view(np.uint64), np.cumsum(n) - n, n, at, np.frombuffer(b"".join(logs[a:b]), np.float32))
+
+
+def _luck(h: np.ndarray, turn: int) -> np.ndarray:
+    """A number in (0, 1] for each text's hash, another in every turn."""
+    x = h + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 2.0**-54
+
+
+class _Held:
+    """Passes over histograms that the driver holds."""
+
+    def __init__(self, h: Sequence[int], places: Sequence[bytes], logs: Sequence[bytes]):
+        self.pieces = [*_pieces(h, places, logs)]
+
+    def total(self, work: Callable[[_Rows], np.ndarray], size: int) -> np.ndarray:
+        """The sum of work(piece), whole numbers, over all pieces."""
+        return sum(map(work, self.pieces), np.zeros(size, np.int64))
+
+    def first(self, work: Callable[[_Rows], np.ndarray]) -> tuple[float, int, bytes, bytes] | None:
+        """The row of the least finite work(piece), and of equal ones of the least hash."""
+        return min((x for p in self.pieces if (x := _first(p, work(p)))), default=None)
+
+
+class _Stored:
+    """The same over a table of histograms."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table.select("h", "places", "logs")
+
+    def total(self, work: Callable[[_Rows], np.ndarray], size: int) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = np.zeros(size, np.int64)
+            for b in batches:
+                for piece in _pieces(b["h"].to_numpy(), b["places"].tolist(), b["logs"].tolist()):
+                    own += work(piece)
+            yield pd.DataFrame({"v": [own.tobytes()]})
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = np.zeros(size, np.int64)
+            for b in batches:
+                for v in b["v"]:
+                    own += np.frombuffer(v, np.int64)
+            yield pd.DataFrame({"v": [own.tobytes()]})
+
+        sums = self.table.mapInPandas(run, "v binary").repartition(_ADDERS).mapInPandas(add, "v binary").collect()
+        return sum((np.frombuffer(r["v"], np.int64) for r in sums), np.zeros(size, np.int64))
+
+    def first(self, work: Callable[[_Rows], np.ndarray]) -> tuple[float, int, bytes, bytes] | None:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = (_first(piece, work(piece)) for b in batches for piece in _pieces(b["h"].to_numpy(), b["places"].tolist(), b["logs"].tolist()))
+            best = min((x for x in found if x), default=None)
+            yield pd.DataFrame([best] if best else [], columns=["key", "h", "places", "logs"])
+
+        rows = self.table.mapInPandas(run, "key double, h long, places binary, logs binary")
+        best = rows.orderBy("key", "h", "places", "logs").limit(1).collect()
+        return (best[0]["key"], best[0]["h"], bytes(best[0]["places"]), bytes(best[0]["logs"])) if best else None
+
+
+def _first(rows: _Rows, keys: np.ndarray) -> tuple[float, int, bytes, bytes] | None:
+    h = rows.h.view(np.int64)
+    i = np.lexsort((h, keys))[0]
+    own = slice(rows.starts[i], rows.starts[i] + rows.sizes[i])
+    return (float(keys[i]), int(h[i]), rows.places[own].astype(np.uint16).tobytes(), rows.logs[own].tobytes()) if np.isfinite(keys[i]) else None
+
+
 class Topics:
     """Spherical k-means over tf-idf. Texts without words have no topic; of no texts there is one topic."""
 
-    def __init__(self, texts: list[str], k: int = TOPICS, seed: int = 13):
-        places, rng = _Places(), np.random.default_rng(seed)
-        uses = np.array([_uses(places, t) for t in texts]).reshape(-1, WORDS)
-        uses = uses[uses.any(axis=1)]
-        self.idf = np.log((1 + len(uses)) / (1 + (uses > 0).sum(axis=0)))
-        x = self.vectors(uses)
-        x = x[x.any(axis=1)]
-        self.centres = np.zeros((1, WORDS))
-        if len(x):
-            centres = x[[int(rng.integers(len(x)))]]
-            while len(centres) < min(k, len(x)):  # the next is far from those that there are
-                far = np.maximum(1 - (x @ centres.T).max(axis=1), 0)
-                if far.sum() <= 1e-9:
-                    break
-                centres = np.concatenate([centres, x[[int(rng.choice(len(x), p=far / far.sum()))]]])
-            for _ in range(STEPS):
-                own = (x @ centres.T).argmax(axis=1)
-                sums = np.array([x[own == j].sum(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
-                sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-                if np.allclose(sums, centres):
-                    break
-                centres = sums
-            self.centres = centres
-
-    def vectors(self, uses: np.ndarray) -> np.ndarray:
-        x = np.log1p(uses) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    def __init__(self, texts: list[str], k: int = TOPICS):
+        places = _Places()
+        rows = [(xxhash.xxh64_intdigest(t, 42), *_histogram(uses)) for t in texts if (uses := _uses(places, t)).any()]
+        h, at, n = zip(*rows) if rows else ((), (), ())
+        self._fit(_Held(np.array(h, np.uint64).view(np.int64), at, n), len(rows), k)
+
+    @classmethod
+    def of(cls, table: DataFrame, k: int = TOPICS) -> Topics:
+        """Of all rows of a table of histograms: h, places, logs."""
+        table = table.where(F.length("places") > 0)
+        n, size = table.agg(F.count("*"), F.sum(F.length("places") / 2)).first()
+        self = cls.__new__(cls)
+        if (size or 0) <= DRIVER_PLACES:
+            rows = table.select("h", "places", "logs").toArrow()
+            passes = _Held(rows["h"].to_numpy(), rows["places"].to_pylist(), rows["logs"].to_pylist())
+        else:
+            passes = _Stored(table)
+        self._fit(passes, n, k)
+        return self
+
+    def _fit(self, passes: _Held | _Stored, n: int, k: int) -> None:
+        have = passes.total(lambda rows: np.bincount(rows.places, minlength=WORDS), WORDS)
+        self.idf, self.centres = np.log((1 + n) / (1 + have)), np.zeros((0, WORDS))
+        while len(self.centres) < k:  # k-means++ by a race: the next is as likely as it is far from those that there are
+            best = passes.first(self._race)
+            if best is None:
+                break
+            weights, _ = self._vectors(next(_pieces([best[1]], [best[2]], [best[3]])))
+            centre = np.zeros((1, WORDS))
+            centre[0, np.frombuffer(best[2], np.uint16)] = weights
+            self.centres = np.concatenate([self.centres, centre])
+        if not len(self.centres):
+            self.centres = np.zeros((1, WORDS))
+        for _ in range(STEPS):
+            sums = passes.total(self._sums, self.centres.size).reshape(self.centres.shape) / _UNIT
+            sums = np.where(sums.any(axis=1, keepdims=True), sums, self.centres)
+            sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+            done, self.centres = np.allclose(sums, self.centres), sums
+            if done:
+                break
+
+    def _vectors(self, rows: _Rows) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vectors' components, and whether each row has any."""
+        x = rows.logs * self.idf[rows.places]
+        norm = np.sqrt(np.add.reduceat(x * x, rows.starts))
+        return x / np.repeat(np.maximum(norm, 1e-12), rows.sizes), norm > 0
+
+    def _cosines(self, rows: _Rows, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.add.reduceat(c[rows.places] * x, rows.starts) for c in self.centres], axis=1)
+
+    def _race(self, rows: _Rows) -> np.ndarray:
+        x, some = self._vectors(rows)
+        far = 1 - self._cosines(rows, x).max(axis=1) if len(self.centres) else np.ones(len(some))
+        some &= far > 1e-9
+        return np.divide(-np.log(_luck(rows.h, len(self.centres))), far, out=np.full(len(far), np.inf), where=some)
+
+    def _sums(self, rows: _Rows) -> np.ndarray:
+        x, _ = self._vectors(rows)
+        own = self._cosines(rows, x).argmax(axis=1)
+        return np.bincount(np.repeat(own * WORDS, rows.sizes) + rows.places, np.rint(x * _UNIT), self.centres.size).astype(np.int64)
+
+    def topics(self, places: Sequence[bytes], logs: Sequence[bytes]) -> list[str | None]:
+        """The topic of every histogram."""
+        out: list[str | None] = [None] * len(places)
+        some = [i for i, p in enumerate(places) if p]
+        found = (self._cosines(rows, self._vectors(rows)[0]).argmax(axis=1) for rows in _pieces(np.zeros(len(some), np.int64), [places[i] for i in some], [logs[i] for i in some]))
+        for i, j in zip(some, (int(j) for piece in found for j in piece)):
+            out[i] = f"topic{j}"
+        return out
 
     def topic(self, uses: np.ndarray) -> str | None:
-        return f"topic{int((self.centres @ self.vectors(uses)).argmax())}" if uses.any() else None
+        places, logs = _histogram(uses)
+        return self.topics([places], [logs])[0]
+
+
+def histograms(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, draw, h (the text's hash), n_tokens (white-space words), places, logs (its histogram)."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        places = _Places()
+        for texts in batches:
+            rows = []
+            for t in texts:  # one histogram at a time is held
+                uses = _uses(places, t)
+                rows.append((int(uses.sum()), *_histogram(uses)))
+            yield pd.DataFrame(rows, columns=["n_tokens", "places", "logs"])
+
+    short_batches(docs.sparkSession)
+    read = F.pandas_udf(run, "struct<n_tokens:long,places:binary,logs:binary>")("text").alias("x")
+    rows = docs.select("doc_id", "source", "lang", draw_of(docs).alias("draw"), F.xxhash64("text").alias("h"), read)
+    return rows.select("doc_id", "source", "lang", "draw", "h", "x.*")
 
 
 def learnt(docs: DataFrame) -> Topics | None:
-    """The topics of docs; none if it names its own. At most SAMPLE_DOCS texts are collected."""
+    """The topics of docs, of all their texts; none if it names its own."""
+    return _learnt_and_measured(docs)[0]
+
+
+def _learnt_and_measured(docs: DataFrame) -> tuple[Topics | None, DataFrame]:
+    """The topics of docs, and doc_id, source, lang, topic, n_tokens, draw of every row by them."""
     short_batches(docs.sparkSession)
     if "topic" in docs.columns:
-        return None
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.select(key.alias("h"), "text").where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    first = cut(rows.select("h").orderBy("h").limit(SAMPLE_DOCS).distinct())  # hashes first: every task sends so many
-    picked = rows.join(F.broadcast(first), "h").groupBy("h").agg(F.min("text").alias("text"))
-    return Topics(sorted({r["text"] for r in picked.collect()}))
+        rows = docs.select("doc_id", "source", "lang", "topic", _read(None).alias("x"), draw_of(docs).alias("draw"))
+        return None, cut(rows.select("doc_id", "source", "lang", "topic", "x.n_tokens", "draw"))
+    step = Steps(docs.sparkSession)
+    held = step(histograms(docs))
+    topics = Topics.of(held)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for places, logs in batches:
+            yield pd.Series(topics.topics(places.tolist(), logs.tolist()), dtype=object)
+
+    rows = cut(held.select("doc_id", "source", "lang", F.pandas_udf(run, "string")("places", "logs").alias("topic"), "n_tokens", "draw"))
+    remove(docs.sparkSession, step.folder)
+    return topics, rows
 
 
 def _read(topics: Topics | None, text: str = "text") -> Column:
@@ -122,13 +298,6 @@ def _read(topics: Topics | None, text: str = "text") -> Column:
     return F.pandas_udf(run, "struct<n_tokens:long,topic:string>")(text)
 
 
-def measured(docs: DataFrame, topics: Topics | None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens (white-space words), draw."""
-    own = F.col("x.topic") if topics else F.col("topic")
-    rows = docs.select("doc_id", "source", "lang", *([] if topics else ["topic"]), draw_of(docs).alias("draw"), _read(topics).alias("x"))
-    return rows.select("doc_id", "source", "lang", own.alias("topic"), F.col("x.n_tokens").alias("n_tokens"), "draw")
-
-
 def draw_of(docs: DataFrame, seed: int = 17) -> Column:
     """A number in [0, 1) from the document's id."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))))
@@ -348,7 +517,7 @@ def weighed(docs: DataFrame, power: dict[str, float] | None = None, budget_share
     targets_by: target shares by margin (source, lang, topic) and category, such as {"source": {"web": 0.4,
     "books": 0.6}}; a null category is the empty string. Margins without get tempered shares of the corpus.
     """
-    rows = _categories(cut(measured(docs, learnt(docs))))
+    rows = _categories(_learnt_and_measured(docs)[1])
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     odds = probabilities(cells, power or POWER, budget_share, limit, targets_by)
     joined = rows.join(odds, list(MARGINS))
@@ -360,8 +529,8 @@ def mix(docs: DataFrame, power: dict[str, float] | None = None, budget_share: fl
 
     Texts are read whole twice and shuffled only if there are more cells than the driver rakes.
     """
-    topics = learnt(docs)
-    rows = _categories(cut(measured(docs, topics)))
+    topics, rows = _learnt_and_measured(docs)
+    rows = _categories(rows)
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     odds = probabilities(cells, power or POWER, budget_share, limit, targets_by)
     few = cells.limit(limit + 1).count() <= limit

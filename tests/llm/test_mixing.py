@@ -193,3 +193,22 @@ def test_every_row_by_plain_computation(spark):
             else:
                 break
         assert all(expected[m].get(c, 0) == pytest.approx(goal[c], rel=1e-3, abs=1e-3) for c in names), (m, goal, expected[m])
+
+
+@pytest.mark.parametrize("held", [mixing.DRIVER_PLACES, 0])
+def test_topics_are_learnt_from_all_texts(spark, monkeypatch, held):
+    """More texts than any sample had, and a theme that only long texts have; driver and table learn the same."""
+    monkeypatch.setattr(mixing, "DRIVER_PLACES", held)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{theme}{x}" for x in rng.integers(0, 50, 12)) for theme in ("sea", "law") for _ in range(1100)]
+    texts += [" ".join(f"code{x}" for x in rng.integers(0, 50, 3000)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts + [None, ""])], "doc_id long, text string, lang string, source string")
+    topics = mixing.learnt(df.repartition(3))
+    places, have = mixing._Places(), np.zeros(mixing.WORDS)
+    for t in texts:
+        have += mixing._uses(places, t) > 0
+    assert np.allclose(topics.idf, np.log((1 + len(texts)) / (1 + have)))
+    again = mixing.Topics(texts)
+    assert (topics.idf == again.idf).all() and (topics.centres == again.centres).all()
+    long = {topics.topic(mixing._uses(places, t)) for t in texts[2200:]}
+    assert len(long) == 1 and np.mean([topics.topic(mixing._uses(places, t)) in long for t in texts[:2200]]) < 0.05
