@@ -1,7 +1,9 @@
-"""What the trained operators share: a bounded labelled sample, Adam, and calibration."""
+"""What the trained operators share: a bounded labelled sample, Adam, L-BFGS, and calibration."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,18 +69,60 @@ class Adam:
 def platt(logits: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
     """a > 0 and b such that sigmoid(a * logit + b) fits y; labels are smoothed as Platt advised."""
     up, down = float((y > 0).sum()), float((y == 0).sum())
+    return platt_by(lambda a, b: platt_sums(logits, y, up, down, a, b), up, down, steps)
+
+
+def platt_sums(logits: np.ndarray, y: np.ndarray, up: float, down: float, a: float, b: float) -> np.ndarray:
+    """What a Newton step of platt_by adds up over rows: two parts of the gradient, three of the Hessian."""
+    t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    p = sigmoid(a * logits + b)
+    w = np.maximum(p * (1 - p), 1e-6)
+    return np.array([((p - t) * logits).sum(), (p - t).sum(), (w * logits * logits).sum(), (w * logits).sum(), w.sum()])
+
+
+def platt_by(sums: Callable[[float, float], np.ndarray], up: float, down: float, steps: int = 200) -> tuple[float, float]:
+    """platt() of rows that sums, platt_sums() over all of them, stands for."""
     if not up or not down:
         return 1.0, 0.0
-    t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     a, b = 1.0, 0.0
     for _ in range(steps):
-        p = sigmoid(a * logits + b)
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - t) * logits).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        h = np.array([[(w * logits * logits).sum() + 1e-3, (w * logits).sum()], [(w * logits).sum(), w.sum() + 1e-9]])
+        s = sums(a, b)
+        g = np.array([s[0] + 1e-3 * (a - 1), s[1]])
+        h = np.array([[s[2] + 1e-3, s[3]], [s[3], s[4] + 1e-9]])
         step = np.linalg.lstsq(h, g, rcond=None)[0]
         step = np.clip(step, -1, 1)
         a, b = max(0.05, a - step[0]), b - step[1]
         if np.abs(step).max() < 1e-6:
             break
     return float(a), float(b)
+
+
+def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 60, memory: int = 10, close: float = 1e-4) -> np.ndarray:
+    """x where f, which gives value and gradient, is least: L-BFGS, until a step gains less than that share."""
+    value, g = f(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        way, parts = g / max(1.0, float(np.linalg.norm(g))), []
+        if pairs:
+            way = g.copy()
+            for s, y in reversed(pairs):
+                parts.append(s @ way / (s @ y))
+                way -= parts[-1] * y
+            way *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+            for (s, y), part in zip(pairs, reversed(parts)):
+                way += (part - y @ way / (s @ y)) * s
+        rate = 1.0
+        while rate > 1e-6:
+            now, now_g = f(x - rate * way)
+            if now <= value - 1e-4 * rate * (g @ way):
+                break
+            rate /= 3
+        else:
+            return x
+        s, y = -rate * way, now_g - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, y)]
+        gain, x, value, g = value - now, x + s, now, now_g
+        if gain <= close * value:
+            break
+    return x

@@ -3,17 +3,19 @@
 A document is a bag of passages of PASSAGE words. Every passage is encoded by a small layer over
 measures of its letters, symbols, repetition and word shapes; gated attention, learnt from the
 documents' labels alone, weighs the passages; the weighted representation is scored. All passages
-of the whole text take part. Training is numpy on the driver over a bounded sample of labelled
-rows (see learning.sample), scoring numpy in the executors.
+of the whole text take part. The model is fitted on the whole texts of all labelled rows that aren't
+held out: their passages are measured once, to the shared folder, and every step of L-BFGS and of the
+calibration is a pass over these in the executors, whose sums alone come to the driver.
 
 Cases: a null, empty or blank text is one empty passage; words longer than PIECE characters are
 read in pieces; without labels of both kinds every score is the share of good ones (0.5 if there are none);
-repeated rows get equal scores; other columns, whatever their names, are ignored.
+a label that is given twice is the larger one, and rows of one id all have its label; repeated rows get equal
+scores; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from operator import eq
 
 import numpy as np
@@ -21,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, short_batches
-from .learning import Adam, platt, sample, sigmoid
+from .common import Steps, cut, fold_of, remove, short_batches, small
+from .learning import minimised, platt_by, platt_sums, sigmoid
 
 PASSAGE, PIECE = 64, 400
 ENCODED, GATE = 16, 8
@@ -40,6 +42,12 @@ def _classes() -> bytes:
 _CLASS = _classes()
 _COUNTED = [c.encode() for c in "ulds!.qyxc"]
 FEATURES = len(_COUNTED) + 12
+WIDTH = FEATURES + 2
+#: Passages of up to so many bytes together are held by the driver; more are read in every pass.
+DRIVER_BYTES = 8_000_000
+#: Passages are computed on in pieces of about so many.
+PIECE_PASSAGES = 4096
+DECAY = 1e-4
 
 
 def _measures(words: list[str]) -> list[float]:
@@ -116,30 +124,96 @@ def logits(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     return _forward(p, np.clip(x, -8, 8), np.repeat(np.arange(len(docs)), list(map(len, docs))), len(docs))[-1].astype(np.float64)
 
 
-def train(texts: list[str], y: np.ndarray, share: float | None = None, epochs: int = 40, batch: int = 128, seed: int = 11) -> dict:
-    """The model's arrays. `share` is the share of good texts among all labelled ones."""
-    if len(set(y.tolist())) < 2:
-        return {"fixed": float(y.mean()) if len(y) else 0.5}
-    rng = np.random.default_rng(seed)
-    docs = [passages(t) for t in texts]
-    every = np.concatenate(docs)
-    p = start(seed)
-    fixed = {"mean": every.mean(axis=0), "spread": every.std(axis=0) + 0.02}
-    docs_n = [np.clip((d - fixed["mean"]) / fixed["spread"], -8, 8) for d in docs]
-    adam = Adam(p, 0.01, decay=1e-4)
-    for epoch in range(epochs):
-        adam.rate = 0.01 * (1 - 0.9 * epoch / epochs)
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            x = np.concatenate([docs_n[i] for i in pick])
-            _, g = gradients(p, x, np.repeat(np.arange(len(pick)), [len(docs[i]) for i in pick]), y[pick])
-            adam.step(g)
-    p |= fixed
-    a, b = platt(logits(p, docs), y)
-    own = float(y.mean())
-    share = own if share is None else min(max(share, 1e-3), 1 - 1e-3)
-    return p | {"scale": a, "shift": b + float(np.log(share / (1 - share)) - np.log(own / (1 - own)))}
+def _pieces(bags: Sequence[bytes], y: Sequence[float]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Passages, the bag of each and the bags' labels, in pieces of about PIECE_PASSAGES."""
+    sizes = np.fromiter(map(len, bags), np.int64, len(bags)) // (4 * WIDTH)
+    piece, y = np.cumsum(sizes) // PIECE_PASSAGES, np.asarray(y, np.float64)
+    starts = np.flatnonzero(np.diff(piece, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(sizes)]):
+        x = np.frombuffer(b"".join(bags[a:b]), np.float32).reshape(-1, WIDTH)
+        yield x.astype(np.float64), np.repeat(np.arange(b - a), sizes[a:b]), y[a:b]
+
+
+class Bags:
+    """Sums over all of a table's bags (y, bag), which the driver holds if they are few."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.held = table.select("y", "bag"), None
+        if (table.agg(F.sum(F.length("bag"))).first()[0] or 0) <= DRIVER_BYTES:
+            rows = self.table.collect()
+            self.held = [*_pieces([bytes(r["bag"]) for r in rows], [r["y"] for r in rows])]
+
+    def total(self, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        if self.held is not None:
+            return sum((work(*p) for p in self.held), np.zeros(size))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = np.zeros(size)
+            for b in batches:
+                for piece in _pieces(b["bag"].tolist(), b["y"].tolist()):
+                    own += work(*piece)
+            yield pd.DataFrame({"v": [own.tobytes()]})
+
+        # a few kilobytes a task, added up in the order of tasks
+        return sum((np.frombuffer(r["v"]) for r in self.table.mapInPandas(run, "v binary").collect()), np.zeros(size))
+
+
+def train(bags: Bags, seed: int = 11) -> dict:
+    """The model's arrays."""
+
+    def measure(x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(y), y.sum(), len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+    sums = bags.total(measure, 3 + 2 * WIDTH)
+    n, up, many = sums[:3]
+    if not 0 < up < n:
+        return {"fixed": float(up / n) if n else 0.5}
+    mean = sums[3 : 3 + WIDTH] / many
+    spread = np.sqrt(np.maximum(sums[3 + WIDTH :] / many - mean * mean, 0)) + 0.02
+    p = {k: v.astype(np.float64) for k, v in start(seed).items()}
+    cuts = np.cumsum([v.size for v in p.values()])[:-1]
+
+    def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: v.reshape(p[k].shape) for k, v in zip(p, np.split(flat, cuts))}
+
+    def loss(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        now = parts(flat)
+
+        def work(x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> np.ndarray:
+            value, g = gradients(now, np.clip((x - mean) / spread, -8, 8), bag, y)
+            return np.concatenate([[value], *(g[k].ravel() for k in now)]) * len(y)
+
+        sums = bags.total(work, 1 + len(flat)) / n
+        return float(sums[0] + DECAY / 2 * flat @ flat), sums[1:] + DECAY * flat
+
+    p = parts(minimised(loss, np.concatenate([v.ravel() for v in p.values()])))
+
+    def newton(a: float, b: float) -> np.ndarray:
+        def work(x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return platt_sums(_forward(p, np.clip((x - mean) / spread, -8, 8), bag, len(y))[-1], y, up, n - up, a, b)
+
+        return bags.total(work, 5)
+
+    a, b = platt_by(newton, up, n - up)
+    return p | {"mean": mean, "spread": spread, "scale": a, "shift": b}
+
+
+def learnt(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model of all rows of docs that have a label and aren't held out (crc32 of the id modulo 4 is not 2)."""
+    spark = docs.sparkSession
+    short_batches(spark)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([passages(t).tobytes() for t in texts])
+
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 2))
+    known = small(cut(known.groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("_y"))))
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select(F.col("_y").alias("y"), "text")
+    step = Steps(spark)
+    model = train(Bags(step(rows.select("y", F.pandas_udf(run, "binary")("text").alias("bag")))))
+    remove(spark, step.folder)
+    return model
 
 
 def scores(model: dict, texts: list[str | None]) -> np.ndarray:
@@ -167,10 +241,10 @@ def score(docs: DataFrame, model: dict, cut: float) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
-    return score(docs, train(*sample(docs, labels, "quality")), cut)
+    return score(docs, learnt(docs, labels), cut)
 
 
 def keep(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     """The rows of docs with a score of at least cut, with all their columns; no row is moved."""
     short_batches(docs.sparkSession)
-    return docs.where(scored(train(*sample(docs, labels, "quality"))) >= cut)
+    return docs.where(scored(learnt(docs, labels)) >= cut)

@@ -119,3 +119,21 @@ def test_platt_orders_and_calibrates(seed):
     y = (rng.random(2000) < learning.sigmoid(2 * x - 1)).astype(float)
     a, b = learning.platt(x, y)
     assert abs(a - 2) < 0.5 and abs(b + 1) < 0.4
+
+
+@pytest.mark.parametrize("held", [quality.DRIVER_BYTES, 0])
+def test_quality_is_learnt_from_all_labelled_texts(spark, monkeypatch, held):
+    """More labelled texts than any sample had, the bad ones all long: no row is left out, on the driver or not."""
+    monkeypatch.setattr(quality, "DRIVER_BYTES", held)
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 8), 1) for i in range(4600)]
+    rows += [(i, (" | ".join(prose(rng, 50).split(" ")) + " ") * 180, 0) for i in range(5000, 5060)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda bags: seen.append(bags.total(lambda x, bag, y: np.array([len(y), y.sum(), len(x)], float), 3)) or train(bags))
+    got = {r.doc_id: r.predicted for r in quality.report(docs, labels).collect()}
+    own = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(own) > 3000 and min(len(t) for t, y in own if not y) > 60_000
+    assert seen[0].tolist() == [len(own), sum(y for _, y in own), sum(-(-len(t.split()) // quality.PASSAGE) for t, _ in own)]
+    assert np.mean([got[i] == y for i, _, y in rows]) > 0.99
