@@ -10,9 +10,12 @@ document's id: the same documents are kept in any run, order or number of partit
 
 Topics are learnt: spherical k-means over hashed words weighed by tf-idf, fitted on the whole texts of all
 documents, each of which is then assigned to its nearest topic. Texts are read once, to histograms in the
-shared folder; idf, the k-means++ start and every step are a pass over these. Sums are of whole numbers, so
-that any order and number of partitions learns the very same topics. A column of that name takes their place
-if there is one.
+shared folder, and these are packed, many texts a row; idf, the k-means++ start and every step are a pass
+over the packs. The start takes one pass for all centres: a centre is the text of least chance / distance, and
+as no distance is above 1, texts of a greater chance than the least such key can't be it. Only if none of the
+texts picked by chance proves to be it is a centre looked for in a pass of its own. Sums are of whole numbers,
+so that any order and number of partitions learns the very same topics. A column of that name takes their
+place if there is one.
 
 Cases: null sources, languages or topics are a category of their own; null or empty texts have no
 tokens and are kept with their cell's probability, or 0 if the cell has no tokens; null ids are drawn
@@ -50,19 +53,33 @@ WORDS, STEPS = 1 << 12, 25
 DRIVER_PLACES = 1 << 20
 #: Rows are computed on in pieces of about so many places.
 _PIECE = 1 << 16
+#: Histograms are packed into rows of about so many places, so that the usual batches of rows stay small.
+_PACK = 1 << 12
+#: So many texts are picked by chance for each centre that k-means starts with.
+_PICKED = 64
+#: Texts are hashed together up to so many bytes, words so many at a time.
+_BYTES, _AT_ONCE = 1 << 20, 1 << 17
 #: Components of unit vectors are summed as multiples of 1 / _UNIT.
 _UNIT = float(1 << 30)
 #: The tasks' sums are added up by so many tasks before the driver adds theirs.
 _ADDERS = 4
 
 
+#: White space as str.split() has it: bytes of ASCII, and characters beyond.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_FAR_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: XXH64's primes.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_SEED = 3
+
+
 class _Places(dict):
     """word -> its place among WORDS."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > KEPT_WORDS:
             self.clear()
-        self[word] = place = xxhash.xxh64_intdigest(word, 3) % WORDS
+        self[word] = place = xxhash.xxh64_intdigest(word, _SEED) % WORDS
         return place
 
 
@@ -77,6 +94,85 @@ def _histogram(uses: np.ndarray) -> tuple[bytes, bytes]:
     return at.astype(np.uint16).tobytes(), np.log1p(uses[at]).astype(np.float32).tobytes()
 
 
+def _lowered(text: str | None) -> bytes:
+    """The text in small letters, all white space beyond ASCII as spaces."""
+    text = (text or "").lower()
+    if not text.isascii():
+        for c in _FAR_SPACES:
+            if c in text:
+                text = text.replace(c, " ")
+    return text.encode()
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _short_hashes(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """XXH64 of the words of so many bytes, less than 32, that start there; 8 more bytes follow the last."""
+    eights = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))
+    h = np.full(len(starts), int(_P5) + _SEED + size, np.uint64)
+    for at in range(0, size - 7, 8):
+        h ^= _turned(eights[starts + at].view("<u8")[:, 0] * _P2, 31) * _P1
+        h = _turned(h, 27) * _P1 + _P4
+    if rest := size % 8:
+        last = eights[starts + (size - rest)].view("<u8")[:, 0]
+        if rest >= 4:
+            h ^= (last & np.uint64(0xFFFFFFFF)) * _P1
+            h = _turned(h, 23) * _P2 + _P3
+        for byte in range(rest // 4 * 4, rest):
+            h ^= (last >> np.uint64(8 * byte) & np.uint64(0xFF)) * _P5
+            h = _turned(h, 11) * _P1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _word_places(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The place of every word, as _Places has it."""
+    out = np.empty(len(starts), np.uint32)
+    for a in range(0, len(starts), _AT_ONCE):
+        own, n = starts[a : a + _AT_ONCE], np.minimum(sizes[a : a + _AT_ONCE], 32).astype(np.uint8)
+        order, ends = np.argsort(n, kind="stable"), np.cumsum(np.bincount(n, minlength=33))
+        for size in range(1, 33):
+            if len(some := order[ends[size - 1] : ends[size]]):
+                if size < 32:
+                    out[a + some] = _short_hashes(data, own[some], size) % np.uint64(WORDS)
+                else:
+                    out[a + some] = [xxhash.xxh64_intdigest(data[s : s + k].tobytes(), _SEED) % WORDS for s, k in zip(own[some], sizes[a + some])]
+    return out
+
+
+def _histograms(texts: Sequence[str | None]) -> Iterator[tuple[int, bytes, bytes]]:
+    """Every text's number of words, and its _histogram()."""
+    held, size = [], 0
+    for text in texts:
+        held.append(_lowered(text))
+        size += len(held[-1])
+        if size >= _BYTES or len(held) * WORDS >= 1 << 31:
+            yield from _histograms_of(held)
+            held, size = [], 0
+    yield from _histograms_of(held)
+
+
+def _histograms_of(texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
+    data = np.frombuffer(b" ".join([b"", *texts, b" " * 8]), np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts = edges[::2]
+    first = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+    n = np.diff(first)
+    keys = _word_places(data, starts, edges[1::2] - starts)
+    keys += np.repeat(np.arange(len(texts), dtype=np.uint32) * np.uint32(WORDS), n)
+    keys.sort()
+    at = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint32(1)))
+    found = keys[at]
+    places, logs = (found % WORDS).astype(np.uint16), np.log1p(np.diff(at, append=len(keys))).astype(np.float32)
+    ends = np.searchsorted(found, np.arange(len(texts) + 1) * WORDS)
+    for words, a, b in zip(n.tolist(), ends, ends[1:]):
+        yield words, places[a:b].tobytes(), logs[a:b].tobytes()
+
+
 @dataclass
 class _Rows:
     """Histograms of some texts, one after the other; none is empty."""
@@ -88,14 +184,32 @@ class _Rows:
     logs: np.ndarray
 
 
-def _pieces(h: Sequence[int], places: Sequence[bytes], logs: Sequence[bytes]) -> Iterator[_Rows]:
-    """The histograms in pieces of about _PIECE places."""
-    sizes = np.fromiter(map(len, places), np.int64, len(places)) // 2
-    piece = np.cumsum(sizes) // _PIECE
-    for a, b in zip(starts := np.flatnonzero(np.diff(piece, prepend=-1)), [*starts[1:], len(sizes)]):
-        n = sizes[a:b]
-        at = np.frombuffer(b"".join(places[a:b]), np.uint16).astype(np.intp)
-        yield _Rows(np.asarray(h[a:b], np.int64).view(np.uint64), np.cumsum(n) - n, n, at, np.frombuffer(b"".join(logs[a:b]), np.float32))
+#: h, the numbers of places, the places and the logs of some texts, one after the other.
+_Pack = tuple[bytes, bytes, bytes, bytes]
+
+
+def _runs(sizes: Sequence[int], most: int) -> Iterator[slice]:
+    """Runs of items, of about so much together."""
+    run = np.cumsum(sizes) // most
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    return map(slice, starts, [*starts[1:], len(sizes)])
+
+
+def _packs(h: Sequence[int], places: Sequence[bytes], logs: Sequence[bytes]) -> Iterator[_Pack]:
+    """The histograms that aren't empty, in packs of about _PACK places."""
+    some = [i for i, p in enumerate(places) if p]
+    h, places, logs = np.asarray(h, np.int64)[some], [places[i] for i in some], [logs[i] for i in some]
+    sizes = np.fromiter(map(len, places), np.int64, len(some)) // 2
+    for own in _runs(sizes, _PACK):
+        yield h[own].tobytes(), sizes[own].astype(np.uint16).tobytes(), b"".join(places[own]), b"".join(logs[own])
+
+
+def _pieces(packs: Sequence[_Pack]) -> Iterator[_Rows]:
+    """The packs in pieces of about _PIECE places."""
+    for own in _runs([len(p[2]) // 2 for p in packs], _PIECE):
+        h, sizes, places, logs = (np.frombuffer(b"".join(parts), kind) for parts, kind in zip(zip(*packs[own]), (np.uint64, np.uint16, np.uint16, np.float32)))
+        n = sizes.astype(np.int64)
+        yield _Rows(h, np.cumsum(n) - n, n, places.astype(np.intp), logs)
 
 
 def _luck(h: np.ndarray, turn: int) -> np.ndarray:
@@ -106,33 +220,47 @@ def _luck(h: np.ndarray, turn: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 2.0**-54
 
 
+#: h, places and logs of a row; those with the row's key before them.
+_Row = tuple[int, bytes, bytes]
+_Found = tuple[float, int, bytes, bytes]
+
+
 class _Held:
     """Passes over histograms that the driver holds."""
 
-    def __init__(self, h: Sequence[int], places: Sequence[bytes], logs: Sequence[bytes]):
-        self.pieces = [*_pieces(h, places, logs)]
+    def __init__(self, packs: Sequence[_Pack]):
+        self.pieces = [*_pieces(packs)]
 
     def total(self, work: Callable[[_Rows], np.ndarray], size: int) -> np.ndarray:
         """The sum of work(piece), whole numbers, over all pieces."""
         return sum(map(work, self.pieces), np.zeros(size, np.int64))
 
-    def first(self, work: Callable[[_Rows], np.ndarray]) -> tuple[float, int, bytes, bytes] | None:
+    def first(self, work: Callable[[_Rows], np.ndarray]) -> _Found | None:
         """The row of the least finite work(piece), and of equal ones of the least hash."""
         return min((x for p in self.pieces if (x := _first(p, work(p)))), default=None)
 
+    def where(self, work: Callable[[_Rows], np.ndarray]) -> list[_Row]:
+        """The rows, each once, that work(piece) is true of."""
+        return [*{r for p in self.pieces for r in _where(p, work(p))}]
+
 
 class _Stored:
-    """The same over a table of histograms."""
+    """The same over a table of packs."""
 
     def __init__(self, table: DataFrame):
-        self.table = table.select("h", "places", "logs")
+        self.table = table.select("h", "sizes", "places", "logs")
+
+    def _each(self, run: Callable[[Iterator[_Rows]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+        def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return run(piece for b in batches for piece in _pieces([*b.itertuples(index=False, name=None)]))
+
+        return self.table.mapInPandas(over, schema)
 
     def total(self, work: Callable[[_Rows], np.ndarray], size: int) -> np.ndarray:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(pieces: Iterator[_Rows]) -> Iterator[pd.DataFrame]:
             own = np.zeros(size, np.int64)
-            for b in batches:
-                for piece in _pieces(b["h"].to_numpy(), b["places"].tolist(), b["logs"].tolist()):
-                    own += work(piece)
+            for piece in pieces:
+                own += work(piece)
             yield pd.DataFrame({"v": [own.tobytes()]})
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,58 +270,85 @@ class _Stored:
                     own += np.frombuffer(v, np.int64)
             yield pd.DataFrame({"v": [own.tobytes()]})
 
-        sums = self.table.mapInPandas(run, "v binary").repartition(_ADDERS).mapInPandas(add, "v binary").collect()
+        sums = self._each(run, "v binary").repartition(_ADDERS).mapInPandas(add, "v binary").collect()
         return sum((np.frombuffer(r["v"], np.int64) for r in sums), np.zeros(size, np.int64))
 
-    def first(self, work: Callable[[_Rows], np.ndarray]) -> tuple[float, int, bytes, bytes] | None:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found = (_first(piece, work(piece)) for b in batches for piece in _pieces(b["h"].to_numpy(), b["places"].tolist(), b["logs"].tolist()))
-            best = min((x for x in found if x), default=None)
+    def first(self, work: Callable[[_Rows], np.ndarray]) -> _Found | None:
+        def run(pieces: Iterator[_Rows]) -> Iterator[pd.DataFrame]:
+            best = min((x for piece in pieces if (x := _first(piece, work(piece)))), default=None)
             yield pd.DataFrame([best] if best else [], columns=["key", "h", "places", "logs"])
 
-        rows = self.table.mapInPandas(run, "key double, h long, places binary, logs binary")
+        rows = self._each(run, "key double, h long, places binary, logs binary")
         best = rows.orderBy("key", "h", "places", "logs").limit(1).collect()
         return (best[0]["key"], best[0]["h"], bytes(best[0]["places"]), bytes(best[0]["logs"])) if best else None
 
+    def where(self, work: Callable[[_Rows], np.ndarray]) -> list[_Row]:
+        def run(pieces: Iterator[_Rows]) -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame([*{r for piece in pieces for r in _where(piece, work(piece))}], columns=["h", "places", "logs"])
+
+        rows = self._each(run, "h long, places binary, logs binary").distinct()
+        return [(r["h"], bytes(r["places"]), bytes(r["logs"])) for r in rows.collect()]
 
-def _first(rows: _Rows, keys: np.ndarray) -> tuple[float, int, bytes, bytes] | None:
-    h = rows.h.view(np.int64)
-    i = np.lexsort((h, keys))[0]
+
+def _row(rows: _Rows, i: int) -> _Row:
     own = slice(rows.starts[i], rows.starts[i] + rows.sizes[i])
-    return (float(keys[i]), int(h[i]), rows.places[own].astype(np.uint16).tobytes(), rows.logs[own].tobytes()) if np.isfinite(keys[i]) else None
+    return int(rows.h.view(np.int64)[i]), rows.places[own].astype(np.uint16).tobytes(), rows.logs[own].tobytes()
+
+
+def _first(rows: _Rows, keys: np.ndarray) -> _Found | None:
+    i = np.lexsort((rows.h.view(np.int64), keys))[0]
+    return (float(keys[i]), *_row(rows, i)) if np.isfinite(keys[i]) else None
+
+
+def _where(rows: _Rows, true: np.ndarray) -> Iterator[_Row]:
+    return (_row(rows, i) for i in np.flatnonzero(true))
+
+
+def _picked(rows: _Rows, k: int, chance: float) -> np.ndarray:
+    """Whether a row's key can be chance or less in the race for any of k centres."""
+    return np.any([-np.log(_luck(rows.h, turn)) <= chance for turn in range(k)], axis=0)
 
 
 class Topics:
     """Spherical k-means over tf-idf. Texts without words have no topic; of no texts there is one topic."""
 
     def __init__(self, texts: list[str], k: int = TOPICS):
-        places = _Places()
-        rows = [(xxhash.xxh64_intdigest(t, 42), *_histogram(uses)) for t in texts if (uses := _uses(places, t)).any()]
+        rows = [(xxhash.xxh64_intdigest(t, 42), p, n) for t, (_, p, n) in zip(texts, _histograms(texts)) if p]
         h, at, n = zip(*rows) if rows else ((), (), ())
-        self._fit(_Held(np.array(h, np.uint64).view(np.int64), at, n), len(rows), k)
+        self._fit(_Held([*_packs(np.array(h, np.uint64).view(np.int64), at, n)]), len(rows), k)
 
     @classmethod
     def of(cls, table: DataFrame, k: int = TOPICS) -> Topics:
         """Of all rows of a table of histograms: h, places, logs."""
-        table = table.where(F.length("places") > 0)
-        n, size = table.agg(F.count("*"), F.sum(F.length("places") / 2)).first()
-        self = cls.__new__(cls)
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                packs = pd.DataFrame([*_packs(b["h"], b["places"].tolist(), b["logs"].tolist())], columns=["h", "sizes", "places", "logs"])
+                yield packs.assign(n=packs["sizes"].map(len) // 2, size=packs["places"].map(len) // 2)
+
+        step = Steps(table.sparkSession)
+        table = step(table.select("h", "places", "logs").mapInPandas(pack, "h binary, sizes binary, places binary, logs binary, n long, size long"))
+        n, size = table.agg(F.sum("n"), F.sum("size")).first()
+        passes = _Stored(table)
         if (size or 0) <= DRIVER_PLACES:
-            rows = table.select("h", "places", "logs").toArrow()
-            passes = _Held(rows["h"].to_numpy(), rows["places"].to_pylist(), rows["logs"].to_pylist())
-        else:
-            passes = _Stored(table)
-        self._fit(passes, n, k)
+            passes = _Held([*map(tuple, passes.table.collect())])
+        self = cls.__new__(cls)
+        self._fit(passes, n or 0, k)
+        remove(table.sparkSession, step.folder)
         return self
 
     def _fit(self, passes: _Held | _Stored, n: int, k: int) -> None:
         have = passes.total(lambda rows: np.bincount(rows.places, minlength=WORDS), WORDS)
         self.idf, self.centres = np.log((1 + n) / (1 + have)), np.zeros((0, WORDS))
+        chance = _PICKED / max(n, 1)
+        picked = _Held([*_packs(*zip(*rows))]) if (rows := passes.where(lambda rows: _picked(rows, k, chance))) else _Held([])
         while len(self.centres) < k:  # k-means++ by a race: the next is as likely as it is far from those that there are
-            best = passes.first(self._race)
+            best = picked.first(self._race)
+            if best is None or best[0] > chance:  # one that isn't picked may be before it
+                best = passes.first(self._race)
             if best is None:
                 break
-            weights, _ = self._vectors(next(_pieces([best[1]], [best[2]], [best[3]])))
+            weights, _ = self._vectors(next(_pieces([*_packs(*zip(best[1:]))])))
             centre = np.zeros((1, WORDS))
             centre[0, np.frombuffer(best[2], np.uint16)] = weights
             self.centres = np.concatenate([self.centres, centre])
@@ -214,7 +369,7 @@ class Topics:
         return x / np.repeat(np.maximum(norm, 1e-12), rows.sizes), norm > 0
 
     def _cosines(self, rows: _Rows, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.add.reduceat(c[rows.places] * x, rows.starts) for c in self.centres], axis=1)
+        return np.stack([np.add.reduceat(np.take(c, rows.places) * x, rows.starts) for c in self.centres], axis=1)
 
     def _race(self, rows: _Rows) -> np.ndarray:
         x, some = self._vectors(rows)
@@ -231,7 +386,8 @@ class Topics:
         """The topic of every histogram."""
         out: list[str | None] = [None] * len(places)
         some = [i for i, p in enumerate(places) if p]
-        found = (self._cosines(rows, self._vectors(rows)[0]).argmax(axis=1) for rows in _pieces(np.zeros(len(some), np.int64), [places[i] for i in some], [logs[i] for i in some]))
+        packs = [*_packs(np.zeros(len(places), np.int64), places, logs)]
+        found = (self._cosines(rows, self._vectors(rows)[0]).argmax(axis=1) for rows in _pieces(packs))
         for i, j in zip(some, (int(j) for piece in found for j in piece)):
             out[i] = f"topic{j}"
         return out
@@ -245,13 +401,8 @@ def histograms(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, draw, h (the text's hash), n_tokens (white-space words), places, logs (its histogram)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        places = _Places()
         for texts in batches:
-            rows = []
-            for t in texts:  # one histogram at a time is held
-                uses = _uses(places, t)
-                rows.append((int(uses.sum()), *_histogram(uses)))
-            yield pd.DataFrame(rows, columns=["n_tokens", "places", "logs"])
+            yield pd.DataFrame([*_histograms(texts)], columns=["n_tokens", "places", "logs"])
 
     short_batches(docs.sparkSession)
     read = F.pandas_udf(run, "struct<n_tokens:long,places:binary,logs:binary>")("text").alias("x")
@@ -287,13 +438,9 @@ def _read(topics: Topics | None, text: str = "text") -> Column:
     """struct(n_tokens, topic) of a text column, in one pass."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        places = _Places()
         for texts in batches:
-            rows = []
-            for t in texts:  # one histogram at a time is held
-                uses = _uses(places, t)
-                rows.append((int(uses.sum()), topics.topic(uses) if topics else None))
-            yield pd.DataFrame(rows, columns=["n_tokens", "topic"])
+            n, places, logs = zip(*_histograms(texts)) if len(texts) else ((), (), ())
+            yield pd.DataFrame({"n_tokens": n, "topic": topics.topics(places, logs) if topics else None}, columns=["n_tokens", "topic"])
 
     return F.pandas_udf(run, "struct<n_tokens:long,topic:string>")(text)
 

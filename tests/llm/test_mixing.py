@@ -212,3 +212,46 @@ def test_topics_are_learnt_from_all_texts(spark, monkeypatch, held):
     assert (topics.idf == again.idf).all() and (topics.centres == again.centres).all()
     long = {topics.topic(mixing._uses(places, t)) for t in texts[2200:]}
     assert len(long) == 1 and np.mean([topics.topic(mixing._uses(places, t)) in long for t in texts[:2200]]) < 0.05
+
+
+def test_words_hashed_together_have_the_places_of_words_hashed_alone(monkeypatch):
+    """Every length of word, all white space of str.split(), letters whose small form depends on what follows; texts over several turns."""
+    import sys
+
+    spaces = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()]
+    texts = [None, "", " ", "".join(f"a{c}B" for c in spaces), "ΟΔΟΣ ΣΑΣ", "Σ", "İstanbul ẞ \U0001f600", "a\x00b \x00", "end ", *("X" * n + " " + "é" * n + " y\n" + "日" * n for n in range(40))]
+    places = mixing._Places()
+    alone = [(int((uses := mixing._uses(places, t)).sum()), *mixing._histogram(uses)) for t in texts]
+    assert [*mixing._histograms(texts)] == alone and [*mixing._histograms([])] == []
+    monkeypatch.setattr(mixing, "_BYTES", 30)
+    monkeypatch.setattr(mixing, "_AT_ONCE", 3)
+    assert [*mixing._histograms(texts)] == alone
+
+
+@pytest.mark.parametrize("picked, looks", [(mixing._PICKED, 0), (0, 5)])
+def test_the_start_takes_one_pass_and_more_only_where_it_proves_nothing(monkeypatch, picked, looks):
+    """The texts picked by chance hold the start; with none picked each centre takes a pass, with the same centres."""
+    monkeypatch.setattr(mixing, "_PICKED", picked)
+    passes = []
+
+    class Counted(mixing._Held):
+        def first(self, work):
+            passes.append("first")
+            return super().first(work)
+
+        def where(self, work):
+            passes.append("where")
+            return super().where(work)
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 30)) for _ in range(1000)]
+    rows = [(i * 0x9E3779B97F4A7C15 % (1 << 63), *h[1:]) for i, h in enumerate(mixing._histograms(texts))]
+    packs = [*mixing._packs(*zip(*rows))]
+    assert len(packs) < len(rows) / 50
+    topics = mixing.Topics.__new__(mixing.Topics)
+    topics._fit(Counted(packs), len(rows), 5)
+    assert (passes.count("where"), passes.count("first")) == (1, looks)
+    plain = mixing.Topics.__new__(mixing.Topics)
+    monkeypatch.setattr(mixing, "_PICKED", len(rows) * 100)
+    plain._fit(mixing._Held(packs), len(rows), 5)
+    assert (topics.centres == plain.centres).all() and len(topics.centres) == 5
