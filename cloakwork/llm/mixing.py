@@ -54,7 +54,7 @@ DRIVER_PLACES = 1 << 20
 #: Rows are computed on in pieces of about so many places.
 _PIECE = 1 << 16
 #: Histograms are packed into rows of about so many places, so that the usual batches of rows stay small.
-_PACK = 1 << 12
+_PACK = 1 << 10
 #: So many texts are picked by chance for each centre that k-means starts with.
 _PICKED = 64
 #: Texts are hashed together up to so many bytes, words so many at a time.
@@ -184,8 +184,11 @@ class _Rows:
     logs: np.ndarray
 
 
-#: h, the numbers of places, the places and the logs of some texts, one after the other.
-_Pack = tuple[bytes, bytes, bytes, bytes]
+#: h, the numbers of places, the places, the logs' numbers in _LOGS and those logs that aren't in it, of some texts, one after the other.
+_Pack = tuple[bytes, bytes, bytes, bytes, bytes]
+_PACKED = ["h", "sizes", "places", "codes", "more"]
+#: The logs of 1 to 255 uses, a byte each in a pack; 255 stands for any other.
+_LOGS = np.log1p(np.arange(1, 256)).astype(np.float32)
 
 
 def _runs(sizes: Sequence[int], most: int) -> Iterator[slice]:
@@ -201,14 +204,20 @@ def _packs(h: Sequence[int], places: Sequence[bytes], logs: Sequence[bytes]) ->
     h, places, logs = np.asarray(h, np.int64)[some], [places[i] for i in some], [logs[i] for i in some]
     sizes = np.fromiter(map(len, places), np.int64, len(some)) // 2
     for own in _runs(sizes, _PACK):
-        yield h[own].tobytes(), sizes[own].astype(np.uint16).tobytes(), b"".join(places[own]), b"".join(logs[own])
+        x = np.frombuffer(b"".join(logs[own]), np.float32)
+        codes = np.minimum(np.searchsorted(_LOGS, x), len(_LOGS) - 1)
+        codes[_LOGS[codes] != x] = len(_LOGS)
+        yield h[own].tobytes(), sizes[own].astype(np.uint16).tobytes(), b"".join(places[own]), codes.astype(np.uint8).tobytes(), x[codes == len(_LOGS)].tobytes()
 
 
 def _pieces(packs: Sequence[_Pack]) -> Iterator[_Rows]:
     """The packs in pieces of about _PIECE places."""
     for own in _runs([len(p[2]) // 2 for p in packs], _PIECE):
-        h, sizes, places, logs = (np.frombuffer(b"".join(parts), kind) for parts, kind in zip(zip(*packs[own]), (np.uint64, np.uint16, np.uint16, np.float32)))
-        n = sizes.astype(np.int64)
+        kinds = np.uint64, np.uint16, np.uint16, np.uint8, np.float32
+        h, sizes, places, codes, more = (np.frombuffer(b"".join(parts), kind) for parts, kind in zip(zip(*packs[own]), kinds))
+        n, logs = sizes.astype(np.int64), np.take(_LOGS, codes, mode="clip")
+        if len(more):
+            logs[codes == len(_LOGS)] = more
         yield _Rows(h, np.cumsum(n) - n, n, places.astype(np.intp), logs)
 
 
@@ -248,11 +257,11 @@ class _Stored:
     """The same over a table of packs."""
 
     def __init__(self, table: DataFrame):
-        self.table = table.select("h", "sizes", "places", "logs")
+        self.table = table.select(*_PACKED)
 
     def _each(self, run: Callable[[Iterator[_Rows]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
         def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            return run(piece for b in batches for piece in _pieces([*b.itertuples(index=False, name=None)]))
+            return run(piece for b in batches for piece in _pieces([*zip(*(b[c] for c in _PACKED))]))
 
         return self.table.mapInPandas(over, schema)
 
@@ -323,11 +332,11 @@ class Topics:
 
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                packs = pd.DataFrame([*_packs(b["h"], b["places"].tolist(), b["logs"].tolist())], columns=["h", "sizes", "places", "logs"])
+                packs = pd.DataFrame([*_packs(b["h"], b["places"].tolist(), b["logs"].tolist())], columns=_PACKED)
                 yield packs.assign(n=packs["sizes"].map(len) // 2, size=packs["places"].map(len) // 2)
 
         step = Steps(table.sparkSession)
-        table = step(table.select("h", "places", "logs").mapInPandas(pack, "h binary, sizes binary, places binary, logs binary, n long, size long"))
+        table = step(table.select("h", "places", "logs").mapInPandas(pack, ", ".join([*(f"{c} binary" for c in _PACKED), "n long", "size long"])))
         n, size = table.agg(F.sum("n"), F.sum("size")).first()
         passes = _Stored(table)
         if (size or 0) <= DRIVER_PLACES:

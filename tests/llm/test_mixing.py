@@ -247,7 +247,7 @@ def test_the_start_takes_one_pass_and_more_only_where_it_proves_nothing(monkeypa
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 30)) for _ in range(1000)]
     rows = [(i * 0x9E3779B97F4A7C15 % (1 << 63), *h[1:]) for i, h in enumerate(mixing._histograms(texts))]
     packs = [*mixing._packs(*zip(*rows))]
-    assert len(packs) < len(rows) / 50
+    assert len(packs) < len(rows) / 20
     topics = mixing.Topics.__new__(mixing.Topics)
     topics._fit(Counted(packs), len(rows), 5)
     assert (passes.count("where"), passes.count("first")) == (1, looks)
@@ -255,3 +255,9 @@ def test_the_start_takes_one_pass_and_more_only_where_it_proves_nothing(monkeypa
     monkeypatch.setattr(mixing, "_PICKED", len(rows) * 100)
     plain._fit(mixing._Held(packs), len(rows), 5)
     assert (topics.centres == plain.centres).all() and len(topics.centres) == 5
+
+
+def test_packs_hold_every_number_of_uses():
+    rows = [(0, b"", b""), *((n, *mixing._histogram(np.concatenate([[0, n, 1], np.arange(n % 300)]))) for n in [*range(1, 600), 70_000, 10**9])]
+    got = [mixing._row(piece, i) for piece in mixing._pieces([*mixing._packs(*zip(*rows))]) for i in range(len(piece.h))]
+    assert got == rows[1:]
