@@ -10,8 +10,8 @@ document's id: the same documents are kept in any run, order or number of partit
 
 Topics are learnt: spherical k-means over hashed words weighed by tf-idf, fitted on the whole texts of all
 documents, each of which is then assigned to its nearest topic. Texts are read once, to histograms in the
-shared folder, and these are packed, many texts a row; idf, the k-means++ start and every step are a pass
-over the packs. The start takes one pass for all centres: a centre is the text of least chance / distance, and
+shared folder; the same pass packs them, many texts a pack, and puts each pack into one of its batch's rows.
+Idf, the k-means++ start and every step are a pass over the packs alone. The start takes one pass for all centres: a centre is the text of least chance / distance, and
 as no distance is above 1, texts of a greater chance than the least such key can't be it. Only if none of the
 texts picked by chance proves to be it is a centre looked for in a pass of its own. Sums are of whole numbers,
 so that any order and number of partitions learns the very same topics. A column of that name takes their
@@ -210,6 +210,17 @@ def _packs(h: Sequence[int], places: Sequence[bytes], logs: Sequence[bytes]) ->
         yield h[own].tobytes(), sizes[own].astype(np.uint16).tobytes(), b"".join(places[own]), codes.astype(np.uint8).tobytes(), x[codes == len(_LOGS)].tobytes()
 
 
+def _taken_apart(packs: Sequence[_Pack]) -> Iterator[_Pack]:
+    """A pack for each text of the packs."""
+    for h, sizes, places, codes, more in packs:
+        at = used = 0
+        for i, n in enumerate(np.frombuffer(sizes, np.uint16).tolist()):
+            own = codes[at : at + n]
+            others = 4 * own.count(len(_LOGS))
+            yield h[8 * i : 8 * i + 8], sizes[2 * i : 2 * i + 2], places[2 * at : 2 * (at + n)], own, more[used : used + others]
+            at, used = at + n, used + others
+
+
 def _pieces(packs: Sequence[_Pack]) -> Iterator[_Rows]:
     """The packs in pieces of about _PIECE places."""
     for own in _runs([len(p[2]) // 2 for p in packs], _PIECE):
@@ -328,22 +339,14 @@ class Topics:
 
     @classmethod
     def of(cls, table: DataFrame, k: int = TOPICS) -> Topics:
-        """Of all rows of a table of histograms: h, places, logs."""
-
-        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                packs = pd.DataFrame([*_packs(b["h"], b["places"].tolist(), b["logs"].tolist())], columns=_PACKED)
-                yield packs.assign(n=packs["sizes"].map(len) // 2, size=packs["places"].map(len) // 2)
-
-        step = Steps(table.sparkSession)
-        table = step(table.select("h", "places", "logs").mapInPandas(pack, ", ".join([*(f"{c} binary" for c in _PACKED), "n long", "size long"])))
-        n, size = table.agg(F.sum("n"), F.sum("size")).first()
-        passes = _Stored(table)
-        if (size or 0) <= DRIVER_PLACES:
+        """Of all packs of a table of histograms."""
+        packs = table.where("pack is not null").select("pack.*")
+        n, size = packs.agg(F.sum(F.length("sizes")), F.sum(F.length("places"))).first()
+        passes = _Stored(packs)
+        if (size or 0) // 2 <= DRIVER_PLACES:
             passes = _Held([*map(tuple, passes.table.collect())])
         self = cls.__new__(cls)
-        self._fit(passes, n or 0, k)
-        remove(table.sparkSession, step.folder)
+        self._fit(passes, (n or 0) // 2, k)
         return self
 
     def _fit(self, passes: _Held | _Stored, n: int, k: int) -> None:
@@ -393,9 +396,16 @@ class Topics:
 
     def topics(self, places: Sequence[bytes], logs: Sequence[bytes]) -> list[str | None]:
         """The topic of every histogram."""
-        out: list[str | None] = [None] * len(places)
-        some = [i for i, p in enumerate(places) if p]
-        packs = [*_packs(np.zeros(len(places), np.int64), places, logs)]
+        return self._of_packs([i for i, p in enumerate(places) if p], [*_packs(np.zeros(len(places), np.int64), places, logs)], len(places))
+
+    def topics_of_packs(self, packs: Sequence[_Pack | None]) -> list[str | None]:
+        """The topic of every pack of one text; none for a text without words."""
+        some = [i for i, p in enumerate(packs) if p]
+        return self._of_packs(some, [packs[i] for i in some], len(packs))
+
+    def _of_packs(self, some: list[int], packs: Sequence[_Pack], n: int) -> list[str | None]:
+        """The topics of the packs' texts at the places some of n."""
+        out: list[str | None] = [None] * n
         found = (self._cosines(rows, self._vectors(rows)[0]).argmax(axis=1) for rows in _pieces(packs))
         for i, j in zip(some, (int(j) for piece in found for j in piece)):
             out[i] = f"topic{j}"
@@ -406,17 +416,31 @@ class Topics:
         return self.topics([places], [logs])[0]
 
 
+def _measured(h: Sequence[int], texts: Sequence[str | None]) -> pd.DataFrame:
+    """n_tokens and the histogram (a pack of its own; null without words) of every text, and in the first rows all packs of the batch."""
+    n, places, logs = zip(*_histograms(texts)) if len(texts) else ((), (), ())
+    packs = [*_packs(h, places, logs)]
+    alone = _taken_apart(packs)
+    out = pd.DataFrame({"n_tokens": n}, dtype=np.int64)
+    rows = [next(alone)[1:] if p else (None,) * 4 for p in places]
+    out[_PACKED[1:]] = pd.DataFrame(rows, columns=_PACKED[1:], dtype=object)
+    out[[f"pack_{c}" for c in _PACKED]] = pd.DataFrame(packs + [(None,) * len(_PACKED)] * (len(texts) - len(packs)), columns=_PACKED, dtype=object)
+    return out
+
+
 def histograms(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, draw, h (the text's hash), n_tokens (white-space words), places, logs (its histogram)."""
+    """doc_id, source, lang, draw, n_tokens (white-space words), sizes, places, codes, more (its histogram; null without words), pack (null in most rows)."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([*_histograms(texts)], columns=["n_tokens", "places", "logs"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for h, texts in batches:
+            yield _measured(h, texts)
 
     short_batches(docs.sparkSession)
-    read = F.pandas_udf(run, "struct<n_tokens:long,places:binary,logs:binary>")("text").alias("x")
-    rows = docs.select("doc_id", "source", "lang", draw_of(docs).alias("draw"), F.xxhash64("text").alias("h"), read)
-    return rows.select("doc_id", "source", "lang", "draw", "h", "x.*")
+    kinds = ", ".join(f"{c}:binary" for c in [*_PACKED[1:], *(f"pack_{c}" for c in _PACKED)])
+    read = F.pandas_udf(run, f"struct<n_tokens:long, {kinds}>")(F.xxhash64("text"), "text").alias("x")
+    rows = docs.select("doc_id", "source", "lang", draw_of(docs).alias("draw"), read)
+    pack = F.when(F.col("x.pack_h").isNotNull(), F.struct(*(F.col(f"x.pack_{c}").alias(c) for c in _PACKED)))
+    return rows.select("doc_id", "source", "lang", "draw", "x.n_tokens", *(f"x.{c}" for c in _PACKED[1:]), pack.alias("pack"))
 
 
 def learnt(docs: DataFrame) -> Topics | None:
@@ -434,11 +458,11 @@ def _learnt_and_measured(docs: DataFrame) -> tuple[Topics | None, DataFrame]:
     held = step(histograms(docs))
     topics = Topics.of(held)
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for places, logs in batches:
-            yield pd.Series(topics.topics(places.tolist(), logs.tolist()), dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series(topics.topics_of_packs([(bytes(8), *p) if p[0] else None for p in zip(*columns)]), dtype=object)
 
-    rows = cut(held.select("doc_id", "source", "lang", F.pandas_udf(run, "string")("places", "logs").alias("topic"), "n_tokens", "draw"))
+    rows = cut(held.select("doc_id", "source", "lang", F.pandas_udf(run, "string")(*_PACKED[1:]).alias("topic"), "n_tokens", "draw"))
     remove(docs.sparkSession, step.folder)
     return topics, rows
 

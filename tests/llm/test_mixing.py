@@ -261,3 +261,29 @@ def test_packs_hold_every_number_of_uses():
     rows = [(0, b"", b""), *((n, *mixing._histogram(np.concatenate([[0, n, 1], np.arange(n % 300)]))) for n in [*range(1, 600), 70_000, 10**9])]
     got = [mixing._row(piece, i) for piece in mixing._pieces([*mixing._packs(*zip(*rows))]) for i in range(len(piece.h))]
     assert got == rows[1:]
+
+
+def test_one_pass_reads_and_packs(spark, monkeypatch):
+    """Histograms and packs are written by one step, which is gone afterwards; every text is in one pack, as in its own row."""
+    written = []
+
+    class Counted(mixing.Steps):
+        def __call__(self, df):
+            written.append(super().__call__(df))
+            return written[-1]
+
+    monkeypatch.setattr(mixing, "Steps", Counted)
+    monkeypatch.setattr(mixing, "DRIVER_PLACES", 0)
+    texts = [None, "", " ", *(" ".join(f"w{x}" for x in range(i % 40)) + " often" * (i % 600) for i in range(900))]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(3)
+    held = mixing.histograms(df).collect()
+    packs = [tuple(r.pack) for r in held if r.pack]
+    alone = sorted(mixing._row(p, i)[1:] for r in held if r.places for p in mixing._pieces([(bytes(8), *map(bytes, (r.sizes, r.places, r.codes, r.more)))]) for i in range(len(p.h)))
+    assert alone == sorted(mixing._row(p, i)[1:] for p in mixing._pieces(packs) for i in range(len(p.h)))
+    assert alone == sorted(tuple(h[1:]) for h in mixing._histograms(texts) if h[1])
+    assert {r.doc_id: r.n_tokens for r in held} == {i: len((t or "").split()) for i, t in enumerate(texts)}
+    assert len(packs) < len(alone) / 10
+    topics, rows = mixing._learnt_and_measured(df)
+    assert len(written) == 1
+    places = mixing._Places()
+    assert {r.doc_id: r.topic for r in rows.collect()} == {i: topics.topic(mixing._uses(places, t)) if (t or "").strip() else None for i, t in enumerate(texts)}
